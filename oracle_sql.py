@@ -432,4 +432,108 @@ def oracle_queries() -> dict[str, str]:
         "recommendations_filtered": _q(_RECOMMENDATIONS, view=_VIEW_FILTERED),
         "dq_violations": _q(_DQ, summaries=False),
     }
+    q.update(ml_oracle_queries())
     return q
+
+
+_SPLIT = """
+sp AS (
+  SELECT order_id, is_late, customer_state,
+         CAST('0x' || substr(md5('42:' || order_id), 1, 15) AS BIGINT) AS h
+  FROM mart
+),
+sp2 AS (
+  SELECT *, row_number() OVER (PARTITION BY is_late ORDER BY h, order_id) AS rn,
+         count(*) OVER (PARTITION BY is_late) AS nc
+  FROM sp
+),
+split AS (
+  SELECT order_id, is_late, customer_state,
+         CASE WHEN rn <= nc - (nc + 4) // 5 THEN 'train' ELSE 'test' END AS split
+  FROM sp2
+),
+prior AS (SELECT customer_state, avg(is_late) AS state_rate FROM split WHERE split = 'train' GROUP BY 1),
+base AS (SELECT avg(is_late) AS b FROM split WHERE split = 'train'),
+pred AS (
+  SELECT t.order_id, t.is_late AS label,
+         CAST(coalesce(p.state_rate, (SELECT b FROM base)) > (SELECT b FROM base) AS INTEGER) AS prediction,
+         coalesce(p.state_rate, (SELECT b FROM base)) AS score
+  FROM split t LEFT JOIN prior p USING (customer_state) WHERE t.split = 'test'
+),
+cm AS (
+  SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+         count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+         count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+         count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn
+  FROM pred
+),
+ps AS (
+  SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+  FROM pred GROUP BY 1
+),
+ps2 AS (
+  SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM ps
+),
+auc AS (
+  SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+              THEN sum(CAST(pos AS DOUBLE) * (CAST(below AS DOUBLE) + CAST(neg AS DOUBLE) * 0.5))
+                   / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS roc_auc
+  FROM ps2
+),
+rates AS (
+  SELECT tp, fp, fn, tn, tp + fp + fn + tn AS n,
+         CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p1,
+         CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r1,
+         CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
+         CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0.0 END AS p0,
+         CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END AS r0,
+         CASE WHEN 2 * tn + fn + fp > 0 THEN 2 * tn / (2 * tn + fn + fp) ELSE 0.0 END AS f0,
+         tp + fn AS s1, tn + fp AS s0
+  FROM cm
+)"""
+
+
+def _qs(body: str) -> str:
+    return "WITH " + ",\n".join(p.strip() for p in [_RAW, _MART, _SPLIT]) + "\n" + body
+
+
+def _median_row(c: str) -> str:
+    return (f"SELECT '{c}' AS feature, 'median' AS kind, round(median(CAST({c} AS DOUBLE)), 9) AS median_value, "
+            f"CAST(NULL AS VARCHAR) AS mode_value FROM tr")
+
+
+def _mode_row(c: str) -> str:
+    return (f"SELECT '{c}' AS feature, 'mode' AS kind, CAST(NULL AS DOUBLE) AS median_value, "
+            f"(SELECT {c} FROM tr WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1) AS mode_value")
+
+
+def _ratio(x: str) -> str:
+    return f"round(CASE WHEN n > 0 THEN {x} ELSE 0.0 END, 9)"
+
+
+def ml_oracle_queries() -> dict[str, str]:
+    num = ["total_sales", "total_freight", "item_count", "estimated_delivery_days", "purchase_month"]
+    cat = ["product_category", "customer_state", "seller_state"]
+    tr = "tr AS (SELECT m.* FROM mart m JOIN split s USING (order_id) WHERE s.split = 'train')"
+    return {
+        "training_profile": _q(
+            "SELECT count(*) AS orders, CAST(coalesce(sum(is_late), 0) AS BIGINT) AS late_orders, "
+            "round(avg(is_late), 9) AS late_rate FROM mart", summaries=False),
+        "split_counts": _qs("SELECT is_late, split, count(*) AS orders FROM split GROUP BY 1, 2"),
+        "split_assignment": _qs("SELECT order_id, is_late, split FROM split"),
+        "feature_imputation": "WITH " + ",\n".join(p.strip() for p in [_RAW, _MART, _SPLIT, tr]) + "\n"
+        + "\nUNION ALL\n".join([_median_row(c) for c in num] + [_mode_row(c) for c in cat]),
+        "eval_metrics": _qs(
+            "SELECT n AS test_orders, " + _ratio("(tp + tn) / n") + " AS accuracy, round(p1, 9) AS precision, "
+            "round(r1, 9) AS recall, round(f1, 9) AS f1, round((SELECT roc_auc FROM auc), 9) AS roc_auc FROM rates"),
+        "confusion_matrix": _qs(
+            "SELECT 0 AS label, tn AS pred_0, fp AS pred_1 FROM cm UNION ALL SELECT 1, fn, tp FROM cm"),
+        "class_report": _qs(
+            "SELECT 'On Time' AS class, round(p0, 9) AS precision, round(r0, 9) AS recall, round(f0, 9) AS f1_score, s0 AS support FROM rates "
+            "UNION ALL SELECT 'Late', round(p1, 9), round(r1, 9), round(f1, 9), s1 FROM rates "
+            "UNION ALL SELECT 'accuracy', NULL, NULL, " + _ratio("(tp + tn) / n") + ", n FROM rates "
+            "UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 9), round((r0 + r1) / 2, 9), round((f0 + f1) / 2, 9), n FROM rates "
+            "UNION ALL SELECT 'weighted avg', " + _ratio("(p0 * s0 + p1 * s1) / n") + ", "
+            + _ratio("(r0 * s0 + r1 * s1) / n") + ", " + _ratio("(f0 * s0 + f1 * s1) / n") + ", n FROM rates"),
+    }
