@@ -126,7 +126,11 @@ def _explode(metrics_row: DataFrame, rules: list[Column], with_text: bool) -> Da
 
 
 def recommendations(view: DataFrame, with_text: bool = True) -> DataFrame:
-    m = dashboard_metrics(view)
+    return recommendations_from(dashboard_metrics(view), with_text)
+
+
+def recommendations_from(m: DataFrame, with_text: bool = True) -> DataFrame:
+    """R1-R12 over a one-row metrics table (see ``dashboard_metrics``)."""
     c = F.col
     late, fs, rev = c("late_rate"), c("freight_share"), c("average_review")
     rules = [
@@ -184,7 +188,11 @@ def recommendations(view: DataFrame, with_text: bool = True) -> DataFrame:
 
 
 def insights(view: DataFrame, with_text: bool = True) -> DataFrame:
-    m = dashboard_metrics(view)
+    return insights_from(dashboard_metrics(view), with_text)
+
+
+def insights_from(m: DataFrame, with_text: bool = True) -> DataFrame:
+    """I1-I13 over a one-row metrics table."""
     c = F.col
     g, gap = c("latest_growth"), c("review_gap")
     rules = [
@@ -245,7 +253,11 @@ def insights(view: DataFrame, with_text: bool = True) -> DataFrame:
 
 def business_status(view: DataFrame, with_text: bool = True) -> DataFrame:
     """Three guardrails: late rate, review target (null review is a warning), freight share."""
-    m = K.kpis(view)
+    return business_status_from(K.kpis(view), with_text)
+
+
+def business_status_from(m: DataFrame, with_text: bool = True) -> DataFrame:
+    """G1-G3 over a one-row KPI table."""
     c = F.col
     ok1 = c("late_rate") <= LATE_RATE_GUARDRAIL
     ok2 = c("average_review").isNotNull() & (c("average_review") >= REVIEW_TARGET)
