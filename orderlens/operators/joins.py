@@ -23,11 +23,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, bou
 
 
 def left_join_dim(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """``fact`` LEFT JOIN ``dim`` USING ``key`` where null keys match each other.
-
-    pandas ``merge`` pairs missing keys with missing keys; ``<=>`` does the same
-    and still plans as an equi-join (hash or sort-merge on the key).
+    """``fact`` LEFT JOIN ``dim`` USING ``key`` where a null key matches the null-key row.
+
+    pandas ``merge`` pairs missing keys with missing keys. ``dim`` must be unique
+    per key (it is de-duplicated first), so at most one row has a null key: it
+    is fetched once as a scalar subquery and attached to fact rows with a null
+    key. The join itself is a plain ``=`` equi-join on the raw key, so a
+    dimension already hash-partitioned by that key (the keep-first step) is
+    joined without another shuffle; a null-safe ``<=>`` join would re-hash both
+    sides on rewritten keys.
     """
-    right = dim.withColumnRenamed(key, "_dim_key")
-    joined = fact.join(right, F.col(key).eqNullSafe(F.col("_dim_key")), "left")
-    return joined.drop("_dim_key")
+    attrs = [c for c in dim.columns if c != key]
+    null_row = dim.where(F.col(key).isNull()).select(F.struct(*attrs).alias("r")).scalar()
+    joined = fact.join(dim, key, "left")
+    cols = [F.col(c) for c in fact.columns]
+    cols += [F.when(F.col(key).isNull(), null_row[a]).otherwise(F.col(a)).alias(a) for a in attrs]
+    return joined.select(*cols)

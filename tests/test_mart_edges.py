@@ -129,3 +129,12 @@ def test_seller_mode_and_null_keys(spark):
     m = _mart(spark, [order("o1")], items, sellers=[("s1", "AA"), ("s2", "BB")])
     assert m["o1"]["seller_state"] == "BB"
     assert m["o1"]["item_count"] == 3
+
+
+def test_null_keys_match_null_key_dimension_row(spark):
+    # pandas merge pairs a missing key with a missing key
+    products = [("p1", "a"), (None, "nullcat")]
+    m = _mart(spark, [order("o1")], [(("o1", 1, None, "s1", 10, 1))], products=products)
+    assert m["o1"]["product_category"] == "nullcat"
+    m2 = _mart(spark, [order("o1")], [(("o1", 1, None, "s1", 10, 1))], products=[("p1", "a")])
+    assert m2["o1"]["product_category"] == "Unknown"
