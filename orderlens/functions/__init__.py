@@ -1,6 +1,6 @@
 """Column expressions and distributed aggregate helpers."""
 
-from orderlens.functions.aggregates import exact_median, mode_or_unknown, values_at_ranks
+from orderlens.functions.aggregates import exact_median, exact_medians, mode_or_unknown, values_at_ranks
 from orderlens.functions.columns import (
     delivery_status,
     fill_unknown,
@@ -20,6 +20,7 @@ from orderlens.functions.columns import (
 __all__ = [
     "delivery_status",
     "exact_median",
+    "exact_medians",
     "fill_unknown",
     "fractional_days",
     "late_flag",

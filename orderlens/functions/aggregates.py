@@ -125,3 +125,30 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
         near_fraction=0.5,
     )
     return picked.select("n", ((F.col("_m_lo") + F.col("_m_hi")) / 2).alias("median"))
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column ``(column, n, median)`` from a single set of passes.
+
+    The columns are unpivoted into ``(column, value)`` pairs and the column name
+    becomes the (bounded) group key of ``values_at_ranks``.
+    """
+    pairs = df.select(
+        F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast(T.DoubleType()).alias("value")) for c in columns
+        ])).alias("p")
+    ).select("p.column", "p.value")
+    picked = values_at_ranks(
+        pairs,
+        "value",
+        {"_m_lo": lambda n: F.floor((n - 1) / 2), "_m_hi": lambda n: F.ceil((n - 1) / 2)},
+        near_fraction=0.5,
+        groups=["column"],
+    )
+    return picked.select("column", "n", ((F.col("_m_lo") + F.col("_m_hi")) / 2).alias("median"))
+
+
+def exact_medians_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``exact_medians`` pivoted to one row: a ``median`` column per input column."""
+    meds = exact_medians(df, columns)
+    return meds.groupBy().pivot("column", list(columns)).agg(F.first("median"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.functions.aggregates import exact_median
+from orderlens.functions.aggregates import exact_medians_row
 from orderlens.functions.columns import (
     as_double,
     metric,
@@ -284,9 +284,9 @@ def filter_domains(mart: DataFrame, state: str | None = None) -> DataFrame:
 
 def feature_defaults(mart: DataFrame) -> DataFrame:
     """Scoring-form defaults over the unfiltered mart: exact medians (days to 1 dp)."""
-    sales = exact_median(mart, "total_sales").select("median").scalar()
-    freight = exact_median(mart, "total_freight").select("median").scalar()
-    days = exact_median(mart, "estimated_delivery_days").select("median").scalar()
+    cols = ["total_sales", "total_freight", "estimated_delivery_days"]
+    meds = exact_medians_row(mart, cols).select(F.struct(*cols).alias("m")).scalar()
+    sales, freight, days = (meds[c] for c in cols)
     return mart.agg(F.count("*").alias("orders")).select(
         "orders",
         sales.alias("median_total_sales"),
