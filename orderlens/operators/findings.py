@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderlens.config import checkpoint_root
 from orderlens.operators import metrics as K
 
 # --- fixed values -----------------------------------------------------------
@@ -70,22 +71,50 @@ FINDING_FIELDS = ["rule_id", "seq", "severity", "label", "subject", "metric_1",
 
 
 def dashboard_metrics(view: DataFrame) -> DataFrame:
-    """Every scalar the rules read, as one row."""
-    parts = {
-        "conc": K.concentration(view),
-        "peak": K.peak_period(view),
-        "growth": K.latest_growth(view),
-        "repeat": K.repeat_customers(view),
-        "delay": K.late_delay(view),
-        "gap": K.review_gap(view),
-        "risk": K.risk_leaders(view),
-    }
-    base = K.kpis(view)
-    extra = []
-    for df in parts.values():
-        s = K._struct_scalar(df)
-        extra += [s[c].alias(c) for c in df.columns if c not in base.columns]
-    return base.select("*", *extra)
+    """Every scalar the rules read, as one row, in three scans of the view.
+
+    Scan 1: one global aggregate (KPIs, late delay, review means). Scan 2: the
+    category / state / month summaries via grouping sets, checkpointed (one
+    row per group); concentration, peak, growth and risk leaders are read
+    from that small table. Scan 3: orders per customer for the repeat rate.
+    """
+    late = F.col("is_late") == 1
+    status = F.col("delivery_status")
+    g = view.agg(
+        F.sum("total_sales").cast(K.REVENUE).alias("total_revenue"),
+        F.sum("total_freight").cast(K.FREIGHT).alias("total_freight"),
+        F.count("*").alias("total_orders"),
+        F.coalesce(F.sum("is_late"), F.lit(0)).cast(T.LongType()).alias("late_orders"),
+        F.avg("delivery_days").alias("average_delivery"),
+        F.avg("is_late").alias("late_rate"),
+        F.avg("average_review_score").alias("average_review"),
+        F.avg(F.when(late, F.col("delivery_days") - F.col("estimated_delivery_days"))).alias("_late_delay"),
+        F.avg(F.when(status == "On Time", F.col("average_review_score"))).alias("review_on_time"),
+        F.avg(F.when(status == "Late", F.col("average_review_score"))).alias("review_late"),
+    )
+    # Materialise the small grouping-sets table once (shared checkpoint folder):
+    # every derived scalar then reads it instead of re-scanning the view.
+    checkpoint_root(view.sparkSession)
+    cats, states, months = K.split_grouping_table(K.grouping_table(view).checkpoint(eager=True))
+    min_group = cats.agg(K.minimum_group_orders(F.sum("orders"))).scalar()
+    peak = K._struct_scalar(K.peak_from(months))
+    growth = K.growth_from(months).select("latest_growth").scalar()
+    rep = K._struct_scalar(K.repeat_customers(view))
+    return g.select(
+        "total_revenue", "total_freight", "total_orders", "late_orders",
+        F.when(F.col("total_orders") > 0, K.as_double("total_revenue") / F.col("total_orders")).alias("average_order_value"),
+        "average_delivery", "late_rate", (F.lit(1.0) - F.col("late_rate")).alias("on_time_rate"), "average_review",
+        K.share_of_collected("total_freight", "total_revenue").alias("freight_share"),
+        K.minimum_group_orders("total_orders").alias("minimum_group_orders"),
+        *K.concentration_cols(cats, states, F.col("total_revenue")),
+        peak["peak_period"].alias("peak_period"), peak["peak_revenue"].alias("peak_revenue"),
+        growth.alias("latest_growth"),
+        rep["customers"].alias("customers"), rep["repeat_customers"].alias("repeat_customers"),
+        rep["repeat_rate"].alias("repeat_rate"),
+        F.coalesce(F.col("_late_delay"), F.lit(0.0)).alias("average_late_delay"),
+        (F.col("review_on_time") - F.col("review_late")).alias("review_gap"),
+        *K.risk_cols(cats, states, min_group),
+    )
 
 
 def _pct(x: Column, digits: int = 1) -> Column:

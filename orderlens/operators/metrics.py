@@ -146,27 +146,34 @@ def category_eligible(view: DataFrame) -> DataFrame:
 
 def concentration(view: DataFrame) -> DataFrame:
     """Top category / state and their revenue shares; top-three category share."""
-    cats = category_summary(view).orderBy(*_by_revenue("product_category"))
-    states = state_summary(view).orderBy(*_by_revenue("customer_state"))
+    base = view.agg(F.sum("total_sales").cast(REVENUE).alias("total_revenue"))
+    return base.select(*concentration_cols(category_summary(view), state_summary(view), F.col("total_revenue")))
+
+
+def concentration_cols(cats: DataFrame, states: DataFrame, total: Column) -> list[Column]:
+    """Concentration columns from the two summaries and the total revenue (a column of the row)."""
+    cats = cats.orderBy(*_by_revenue("product_category"))
+    states = states.orderBy(*_by_revenue("customer_state"))
     top_cat = _struct_scalar(cats.limit(1).select("product_category", "revenue"))
     top_state = _struct_scalar(states.limit(1).select("customer_state", "revenue"))
     top3 = cats.limit(3).agg(F.sum("revenue").alias("r")).scalar()
-    base = view.agg(F.sum("total_sales").cast(REVENUE).alias("total_revenue"))
-    total = F.col("total_revenue")
-    return base.select(
+    return [
         top_cat["product_category"].alias("top_category"),
         safe_ratio(top_cat["revenue"], total).alias("top_category_share"),
         top_state["customer_state"].alias("top_state"),
         safe_ratio(top_state["revenue"], total).alias("top_state_share"),
         safe_ratio(top3, total).alias("top_three_category_share"),
-    )
+    ]
 
 
 def peak_period(view: DataFrame) -> DataFrame:
     """Month with the highest revenue; ties go to the earliest month."""
+    return peak_from(monthly_revenue(view))
+
+
+def peak_from(months: DataFrame) -> DataFrame:
     return (
-        monthly_revenue(view)
-        .orderBy(F.desc("revenue"), F.asc("purchase_period"))
+        months.orderBy(F.desc("revenue"), F.asc("purchase_period"))
         .limit(1)
         .select(F.col("purchase_period").alias("peak_period"), F.col("revenue").alias("peak_revenue"))
     )
@@ -178,7 +185,11 @@ def latest_growth(view: DataFrame) -> DataFrame:
     Null with fewer than two months or a non-positive previous month. Reads
     only the two latest rows of the monthly table (top-2, no window).
     """
-    last2 = monthly_revenue(view).orderBy(F.desc("purchase_period")).limit(2)
+    return growth_from(monthly_revenue(view))
+
+
+def growth_from(months: DataFrame) -> DataFrame:
+    last2 = months.orderBy(F.desc("purchase_period")).limit(2)
     a = last2.agg(
         F.count("*").alias("_n"),
         F.max("purchase_period").alias("latest_period"),
@@ -243,8 +254,14 @@ def review_gap(view: DataFrame) -> DataFrame:
 
 def risk_leaders(view: DataFrame) -> DataFrame:
     """Highest-risk eligible state and category; eligible category with the top freight share."""
-    states = eligible(state_summary(view), view)
-    cats = eligible(category_summary(view), view)
+    cols = risk_cols(category_summary(view), state_summary(view), _min_group(view))
+    return view.agg(F.count("*").alias("_n")).select(*cols)
+
+
+def risk_cols(cats: DataFrame, states: DataFrame, min_group: Column) -> list[Column]:
+    """Risk-leader columns from the two summaries and the minimum group size (scalar)."""
+    states = states.where(F.col("orders") >= min_group)
+    cats = cats.where(F.col("orders") >= min_group)
     s = _struct_scalar(states.orderBy(*_by_late_rate("customer_state")).limit(1)
                        .select("customer_state", "late_rate", "orders"))
     c = _struct_scalar(cats.orderBy(*_by_late_rate("product_category")).limit(1)
@@ -254,7 +271,7 @@ def risk_leaders(view: DataFrame) -> DataFrame:
         .orderBy(F.desc("freight_share"), F.desc("revenue"), F.asc("product_category")).limit(1)
         .select("product_category", "freight_share")
     )
-    return view.agg(F.count("*").alias("_n")).select(
+    return [
         s["customer_state"].alias("highest_risk_state"),
         s["late_rate"].alias("highest_risk_state_late_rate"),
         s["orders"].alias("highest_risk_state_orders"),
@@ -263,9 +280,40 @@ def risk_leaders(view: DataFrame) -> DataFrame:
         c["orders"].alias("highest_risk_category_orders"),
         fr["product_category"].alias("highest_freight_category"),
         fr["freight_share"].alias("highest_freight_category_share"),
+    ]
+
+
+_GS_KEYS = ["product_category", "customer_state", "purchase_period"]
+
+
+def grouping_table(view: DataFrame) -> DataFrame:
+    """Category, state and month aggregates from ONE scan and ONE shuffle (grouping sets).
+
+    Rows are expanded once per grouping set before the map-side partial
+    aggregate, so the shuffle carries only partial rows per (set, key). The
+    result has one row per category, state and month: small at any scale.
+    """
+    return view.groupingSets([["product_category"], ["customer_state"], ["purchase_period"]], *_GS_KEYS).agg(
+        F.grouping_id().alias("_gid"),
+        F.sum("total_sales").cast(REVENUE).alias("revenue"),
+        F.sum("total_freight").cast(FREIGHT).alias("freight"),
+        F.count("*").alias("orders"),
+        F.avg("is_late").alias("late_rate"),
+        F.avg("delivery_days").alias("average_delivery"),
     )
 
 
+def split_grouping_table(g: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(category summary, state summary, monthly revenue) out of ``grouping_table``."""
+    # grouping_id bit set = column aggregated away; bits follow _GS_KEYS order
+    cats = g.where(F.col("_gid") == 0b011).select(
+        "product_category", "revenue", "freight", "orders", "late_rate",
+        share_or_null("freight", "revenue").alias("freight_share"))
+    states = g.where(F.col("_gid") == 0b101).select("customer_state", "revenue", "orders", "late_rate", "average_delivery")
+    months = g.where(F.col("_gid") == 0b110).select("purchase_period", "revenue")
+    return cats, states, months
+
+
 def filter_domains(mart: DataFrame, state: str | None = None) -> DataFrame:
     """Sorted option lists: states, categories (after the state filter), seller states."""
 
