@@ -19,8 +19,12 @@ _LOCK = threading.Lock()
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
+def _app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
+
+
 def table_path(spark: SparkSession, kind: str, source_key: str) -> str:
-    app = spark.sparkContext.applicationId
+    app = _app_id(spark)
     digest = hashlib.sha1(f"{app}|{kind}|{source_key}".encode()).hexdigest()[:16]
     return f"{checkpoint_root(spark)}/orderlens/{kind}/{digest}"
 
@@ -34,7 +38,7 @@ def materialized(
     partition_by: list[str] | None = None,
 ) -> DataFrame:
     """Return the table ``kind`` for ``source_key``; build, write and check it on first use."""
-    key = (spark.sparkContext.applicationId, f"{kind}|{source_key}")
+    key = (_app_id(spark), f"{kind}|{source_key}")
     with _LOCK:
         path = _WRITTEN.get(key)
         if path is None:

@@ -42,6 +42,9 @@ def test_every_query_has_a_name_and_runs(spark):
     missing = set(E.oracle_sql()) - set(qs)
     assert not missing
     assert qs["late_model_scores"](spark, SF_DIR).count() > 0
+    scored = qs["scored_orders"](spark, SF_DIR)
+    assert scored.count() == qs["order_mart"](spark, SF_DIR).count()
+    assert {r["verdict"] for r in scored.select("verdict").distinct().collect()} <= {"Likely Late", "Likely On Time"}
 
 
 def test_entry_smoke(spark):
