@@ -138,3 +138,15 @@ def test_null_keys_match_null_key_dimension_row(spark):
     assert m["o1"]["product_category"] == "nullcat"
     m2 = _mart(spark, [order("o1")], [(("o1", 1, None, "s1", 10, 1))], products=[("p1", "a")])
     assert m2["o1"]["product_category"] == "Unknown"
+
+
+def test_hot_order_holding_a_third_of_items(spark):
+    # one order carries a third of all item rows; results stay whole and exact
+    hot = [("hot", i, "pa" if i % 3 else "pb", "s1", 1, 0.5) for i in range(3000)]
+    rest = [(f"o{i}", 1, "pa", "s1", 2, 1) for i in range(6000)]
+    orders = [order("hot")] + [order(f"o{i}") for i in range(0, 6000, 50)]
+    m = _mart(spark, orders, hot + rest, products=[("pa", "a"), ("pb", "b")])
+    assert m["hot"]["item_count"] == 3000
+    assert m["hot"]["total_sales"] == Decimal("3000.00")
+    assert m["hot"]["product_category"] == "a"
+    assert len(m) == 1 + 120
