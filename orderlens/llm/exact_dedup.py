@@ -1,8 +1,7 @@
 """Exact dedup by content-defined chunk recipes (DataFrame functions only).
 
-A text is normalised, cut into chunks after words whose hash has six zero bits
-(and after 512 words without such a word), and written as its *recipe*: the
-ordered list of chunk identifiers. Each distinct chunk text moves once, after
+A text is normalised, cut into chunks where its content has a sentence end, and
+written as its *recipe*: the ordered list of chunk identifiers. Each distinct chunk text moves once, after
 map-side de-duplication, to prove that no two different chunks share an
 identifier; if two do, identifiers get one more hash and the proof is repeated.
 Equal recipes are then equal texts, and only recipes are grouped and joined.
@@ -18,27 +17,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orderlens.llm.common import materialize
 
-SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-CUT_MASK = 63
-MAX_CHUNK_WORDS = 512
+# A chunk ends after a sentence end (its content decides), 256 to 2048 characters long;
+# 2048 characters without one are a chunk as they stand.
+CHUNK = r"(?s).{255,2046}?[.!?。！？؟।…]\x20?|.{1,2048}"
 _SEEDS = (0x51ED27, 0x2F0B4C, 0x77A1D9, 0x1C6E83, 0x63B5F1, 0x0A94E7, 0x3D7C29, 0x48F613)
 
 
 def normalised(text: Column) -> Column:
-    """Every run of ASCII white space becomes one space (a lone space already is one)."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
+    """Every run of ASCII white space becomes one space."""
+    out = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\f\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " {2,}", " ")).otherwise(out)
 
 
-def chunk_list(words: Column) -> Column:
-    """Chunks of a word list as strings; joined by one space they give the text again."""
-    ends = F.array_compact(F.transform(
-        words, lambda w, i: F.when(F.xxhash64(w).bitwiseAND(F.lit(CUT_MASK)) == 0, i + 1)))
-    ends = F.array_distinct(F.array_append(ends, F.size(words)))
-    begins = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
-    spans = F.flatten(F.zip_with(begins, ends, lambda b, e: F.transform(
-        F.sequence(b, e - 1, F.lit(MAX_CHUNK_WORDS)),
-        lambda s: F.struct(s.alias("at"), F.least(F.lit(MAX_CHUNK_WORDS), e - s).alias("n")))))
-    return F.transform(spans, lambda p: F.array_join(F.slice(words, p["at"] + 1, p["n"]), " "))
+def chunk_list(text: Column) -> Column:
+    """Chunks of a normalised text; laid end to end they give the text again."""
+    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
 def chunk_id(chunk: Column, width: int, bits: int = 64) -> Column:
@@ -49,14 +44,14 @@ def chunk_id(chunk: Column, width: int, bits: int = 64) -> Column:
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text"))
-    words = text.select("_id", "_text", F.split("_text", " ").alias("_words"))
-    return words.select("_id", "_text", chunk_list(F.col("_words")).alias("_chunks"))
+    return text.select("_id", "_text", chunk_list(F.col("_text")).alias("_chunks"))
 
 
 def verified_width(chunked: DataFrame, width: int, bits: int) -> int:
     """The smallest number of hashes, from ``width`` on, that tells all distinct chunks apart."""
     while True:
-        chunk = chunked.select(F.explode("_chunks").alias("c"))
+        # the outer form: a plain explode infers a filter that would cut every text twice
+        chunk = chunked.select(F.explode_outer("_chunks").alias("c"))
         distinct = chunk.select(chunk_id(F.col("c"), width, bits).alias("id"), "c").distinct()
         shared = distinct.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
         if shared.isEmpty():
