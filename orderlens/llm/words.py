@@ -25,7 +25,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _POW = _powers(_BASE, _LOW)
-_POW_HIGH_BASE = np.uint64(_POW[-1]) * _BASE if _LOW else _BASE
+_POW_HIGH_BASE = np.uint64(int(_POW[-1]) * int(_BASE) % (1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
