@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.llm.common import table
+from orderlens.llm.decontaminate import benchmark_overlaps
 from orderlens.llm.exact_dedup import exact_dedup
+from orderlens.llm.minhash import near_duplicates
 from orderlens.llm.packing import best_fit_packing
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,9 +22,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_exact_dedup,)}
+    return {f.__name__: f for f in (
+        op2_best_fit_packing, op4_benchmark_decontamination, op5_exact_dedup, op8_minhash_near_dedup)}
