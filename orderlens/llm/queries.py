@@ -12,16 +12,26 @@ from orderlens.llm.decontaminate import benchmark_overlaps
 from orderlens.llm.exact_dedup import exact_dedup
 from orderlens.llm.minhash import near_duplicates
 from orderlens.llm.packing import best_fit_packing
+from orderlens.llm.quality import quality_predictions
+from orderlens.llm.substring_dedup import substring_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,4 +46,4 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_best_fit_packing, op4_benchmark_decontamination, op5_exact_dedup, op8_minhash_near_dedup)}
+        op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op8_minhash_near_dedup)}
