@@ -6,11 +6,13 @@ earliest dart. Two documents agree in a coordinate with probability equal to
 their weighted Jaccard similarity. Bands of coordinates are bucket keys.
 
 Documents with equal shingle sets collapse to one representative first. In each
-bucket every member is compared with the bucket's centre by its whole shingle
-set; members that are not yet connected to the centre meet a new centre in the
-next round, until each bucket's members were a centre or joined one. Work per
-round is linear in the bucket, hot buckets never emit all pairs, and components
-come from label propagation on tables, not on the driver.
+bucket every member is compared with the bucket's centre by whole shingle sets;
+runs of two and three bands form deeper buckets with centres of their own, so
+close members of a large bucket meet without all pairs. Buckets whose members
+are still apart get new centres, twice. Work is linear in bucket members; rows
+are never dropped. A link is missed only if its two documents meet under no
+centre and no chain of links joins them (figures in the README). Components come
+from label propagation on tables, not on the driver.
 
 Defined cases: words are runs of letters and digits as the text has them, in
 lower case for ASCII; a text of fewer than five words is one shingle of all its
@@ -21,17 +23,20 @@ class; repeated rows share a class; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from orderlens.llm.common import materialize, row_ranges, text_bytes
 from orderlens.llm.words import mix, window_hashes, word_hashes, word_spans
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 25, 5
+DEPTHS = (2, 3)
+RECENTRED = 2
 _SLICE_BYTES = 1 << 21
 _LOWEST = -4  # darts of ranks under 2^-4 come from one cell
 _HIGHEST = 40
@@ -218,6 +223,36 @@ def components(edges: DataFrame, kind: str = "labels") -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of the old labels that the links join."""
+    old = labels.select("node", "label")
+    ends = links.join(old.withColumnRenamed("node", "a").withColumnRenamed("label", "la"), "a", "left").join(
+        old.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b", "left")
+    ends = materialize(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "ends")
+    joined = components(ends.filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    fresh = ends.select(F.col("a").alias("node"), F.col("la").alias("label")).union(ends.select("b", "lb"))
+    every = old.union(fresh).distinct()
+    moved = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialize(every.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")),
+                       "labels")
+
+
+def _joined_bands(bands: int, depth: int) -> Column:
+    """Keys of runs of ``depth`` consecutive bands (round the end)."""
+    def key(i: Column) -> Column:
+        return F.xxhash64(*[F.get("_bands", (i + d) % bands) for d in range(depth)])
+
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)
+
+
+def _pairs_with(members: DataFrame, centre: Column) -> DataFrame:
+    """Distinct (smaller, larger) pairs of each bucket's centre with its members."""
+    centres = members.groupBy("_band", "_key").agg(centre.alias("_centre"), F.count("*").alias("n")).filter("n > 1")
+    centres = materialize(centres.drop("n"), "centres")
+    return members.join(centres, ["_band", "_key"]).filter("_rep != _centre").select(
+        F.least("_centre", "_rep").alias("a"), F.greatest("_centre", "_rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: float = SIMILARITY, bands: int = BANDS, rows_per_band: int = ROWS,
                     width: int = WIDTH) -> DataFrame:
@@ -235,47 +270,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = sets.select("_rep", F.posexplode("_bands").alias("_band", "_key"))
     shared = buckets.groupBy("_band", "_key").agg(F.count("*").alias("n")).filter("n > 1").select("_band", "_key")
     shared = materialize(shared, "shared")
-    members = materialize(buckets.join(shared, ["_band", "_key"]).withColumn("_done", F.lit(False)), "members")
-    involved = sets.join(members.select("_rep").distinct(), "_rep", "left_semi").select("_rep", "_set_a", "_set_b")
+    members = materialize(buckets.join(shared, ["_band", "_key"]), "members")
+    involved = materialize(members.select("_rep").distinct(), "involved")
+    near = sets.join(involved, "_rep", "left_semi")
     stored = features.select(F.col("_id").alias("_rep"), "_set_a", "_set_b", "_shingles").join(
-        materialize(involved, "involved"), ["_rep", "_set_a", "_set_b"], "left_semi")
+        near.select("_rep", "_set_a", "_set_b"), ["_rep", "_set_a", "_set_b"], "left_semi")
     stored = materialize(stored.dropDuplicates(["_rep", "_set_a", "_set_b"]).select("_rep", "_shingles"), "shingles")
 
-    found: DataFrame | None = None
-    tried: DataFrame | None = None
-    labels: DataFrame | None = None
-    while True:
-        centres = members.filter(~F.col("_done")).groupBy("_band", "_key").agg(F.min("_rep").alias("a"))
-        centres = materialize(centres, "centres")
-        meet = members.join(centres, ["_band", "_key"]).filter("_rep != a")
-        if labels is not None:
-            mine = labels.select(F.col("node").alias("_rep"), F.col("label").alias("_l"))
-            theirs = labels.select(F.col("node").alias("a"), F.col("label").alias("_la"))
-            meet = meet.join(mine, "_rep", "left").join(theirs, "a", "left").filter(
-                F.coalesce("_l", "_rep") != F.coalesce("_la", "a"))
-        pairs = meet.select(F.least("a", "_rep").alias("a"), F.greatest("a", "_rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            tried = pairs if tried is None else tried.union(pairs)
-            good = materialize(similar_pairs(pairs, stored, similarity), "links")
-            found = good if found is None else found.union(good)
-            labels = components(found)
-        elif found is None:
-            labels = pairs.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        # a member is done once it was a centre; a bucket is done once its members share one label
-        state = members.join(centres, ["_band", "_key"], "left").withColumn(
-            "_done", F.col("_done") | (F.col("_rep") == F.col("a")))
-        state = state.join(labels.select(F.col("node").alias("_rep"), F.col("label").alias("_l")), "_rep", "left")
-        state = materialize(state.select("_rep", "_band", "_key", "_done", F.coalesce("_l", "_rep").alias("_l")), "state")
-        apart = state.groupBy("_band", "_key").agg(
-            (F.min("_l") != F.max("_l")).alias("apart"),
-            F.sum((~F.col("_done")).cast("long")).alias("left")).filter("apart and left > 1").select("_band", "_key")
-        apart = materialize(apart, "apart")
-        members = materialize(state.join(apart, ["_band", "_key"]).select("_rep", "_band", "_key", "_done"), "members")
-        if members.isEmpty():
-            break
+    deeper = [near.select("_rep", F.posexplode(_joined_bands(bands, depth)).alias("_band", "_key")).withColumn(
+        "_band", F.col("_band") + bands * depth) for depth in DEPTHS]
+    tried = materialize(_pairs_with(reduce(DataFrame.unionByName, [members, *deeper]), F.min("_rep")), "pairs")
+    links = materialize(similar_pairs(tried, stored, similarity), "links")
+    labels = components(links)
+    for turn in range(RECENTRED):
+        mine = labels.select(F.col("node").alias("_rep"), F.col("label").alias("_label"))
+        placed = members.join(mine, "_rep", "left").withColumn("_label", F.coalesce("_label", "_rep"))
+        apart = placed.groupBy("_band", "_key").agg(
+            F.min("_label").alias("least"), F.max("_label").alias("most"),
+            F.min(F.struct(F.xxhash64("_rep", F.lit(turn)).alias("h"), "_rep", "_label")).alias("c")).filter("least < most")
+        apart = materialize(apart.select("_band", "_key", F.col("c._rep").alias("_centre"),
+                                         F.col("c._label").alias("_of")), "apart")
+        pairs = placed.join(apart, ["_band", "_key"]).filter("_label != _of").select(
+            F.least("_centre", "_rep").alias("a"), F.greatest("_centre", "_rep").alias("b")).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        links = materialize(similar_pairs(pairs, stored, similarity), "links")
+        labels = merged(labels, links)
 
     by_set = sets.join(labels.select(F.col("node").alias("_rep"), F.col("label").alias("_l")), "_rep", "left").select(
         "_set_a", "_set_b", "_size", F.coalesce("_l", "_rep").alias("class_id"))
