@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from orderlens.llm.common import table
 from orderlens.llm.decontaminate import benchmark_overlaps
 from orderlens.llm.exact_dedup import exact_dedup
+from orderlens.llm.language_id import language_predictions
 from orderlens.llm.minhash import near_duplicates
 from orderlens.llm.packing import best_fit_packing
 from orderlens.llm.quality import quality_predictions
 from orderlens.llm.substring_dedup import substring_dedup
+from orderlens.llm.url_filter import judge_urls
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
+# The url rules of the query
+ALLOWED = [("com", "/"), ("www.example.com", "/en/")]
+BLOCKED = [("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/")]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -40,10 +46,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), ALLOWED, BLOCKED)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op8_minhash_near_dedup)}
+        op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op6_url_filter,
+        op8_minhash_near_dedup, op9_language_id)}
