@@ -11,6 +11,7 @@ from orderlens.llm.common import table
 from orderlens.llm.decontaminate import benchmark_overlaps
 from orderlens.llm.exact_dedup import exact_dedup
 from orderlens.llm.language_id import language_predictions
+from orderlens.llm.line_dedup import line_dedup
 from orderlens.llm.minhash import near_duplicates
 from orderlens.llm.packing import best_fit_packing
 from orderlens.llm.quality import quality_predictions
@@ -58,7 +59,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op6_url_filter,
-        op8_minhash_near_dedup, op9_language_id)}
+        op8_minhash_near_dedup, op9_language_id, op10_line_dedup)}

@@ -20,11 +20,11 @@ pass through; an empty table or list gives no matches; extra columns are ignored
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -76,11 +76,12 @@ def _passing(universe: DataFrame, levels: list[Bloom]) -> DataFrame:
     """Keys of the universe that pass every level."""
     shared = universe.sparkSession.sparkContext.broadcast(levels)
 
-    @F.pandas_udf("boolean")
-    def passes(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: all(k in level for level in shared.value)).astype(bool)
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [all(k in level for level in shared.value) for k in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return universe.filter(passes("key"))
+    return universe.select("key").mapInArrow(passing, "key string")
 
 
 def build_cascade(listed: Iterable[str], universe: DataFrame) -> Cascade:
@@ -141,14 +142,16 @@ def judge_urls(pages: DataFrame, allow: list[Rule], block: list[Rule], id_col: s
     bad = build_cascade(blocked, universe.sparkSession.createDataFrame([(k,) for k in sorted(listed)], "key string"))
     shared = pages.sparkSession.sparkContext.broadcast((rules, bad))
 
-    @F.pandas_udf("rule string, blocked boolean")
-    def match(keys: pd.Series) -> pd.DataFrame:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule_set, bad_set = shared.value
-        found = [max((k for k in row if k in rule_set), key=len, default=None) for row in keys]
-        return pd.DataFrame({"rule": found, "blocked": [k is not None and k in bad_set for k in found]},
-                            columns=["rule", "blocked"]).astype({"rule": object})
-
-    judged = keyed.select("_id", "host", "path", match("_keys").alias("m"))
-    verdict = F.when(F.col("m.rule").isNull(), F.lit(default)).when(F.col("m.blocked"), "block").otherwise("allow")
-    return judged.select(F.col("_id").alias(id_col), "host", "path", F.col("m.rule").alias("rule"),
-                         verdict.alias("verdict"))
+        for batch in batches:
+            found = [max((k for k in row if k in rule_set), key=len, default=None)
+                     for row in batch.column(3).to_pylist()]
+            verdict = [default if k is None else "block" if k in bad_set else "allow" for k in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.string()),
+                                              pa.array(verdict, pa.string())],
+                                             names=["_id", "host", "path", "rule", "verdict"])
+
+    kind = parts.schema["_id"].dataType.simpleString()
+    judged = keyed.mapInArrow(match, f"_id {kind}, host string, path string, rule string, verdict string")
+    return judged.withColumnRenamed("_id", id_col)
