@@ -155,12 +155,18 @@ class BytePair:
         self.memo: dict[bytes, list] = {}
 
     def encode_tiles(self, distinct: list[bytes]) -> Lengths:
+        if len(self.memo) > _MEMO_LIMIT:
+            self.memo.clear()
         out = []
         for tile in distinct:
             ids = self.memo.get(tile)
             if ids is None:
-                if len(self.memo) >= _MEMO_LIMIT:
-                    self.memo.clear()
-                ids = self.memo[tile] = self.encoding.encode_ordinary(tile.decode())
+                ids = self.memo[tile] = tuple(self.encoding.encode_ordinary(tile.decode()))
             out.append(ids)
         return Lengths(out)
+
+
+@lru_cache(maxsize=1)
+def byte_pair(path: str, pattern: str) -> BytePair:
+    """One per worker process, so that its memo serves later tasks too."""
+    return BytePair(path, pattern)

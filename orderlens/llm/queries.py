@@ -16,9 +16,11 @@ from orderlens.llm.minhash import near_duplicates
 from orderlens.llm.packing import best_fit_packing
 from orderlens.llm.quality import quality_predictions
 from orderlens.llm.substring_dedup import substring_dedup
+from orderlens.llm.token_counts import section_token_counts
 from orderlens.llm.url_filter import judge_urls
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 # The url rules of the query
 ALLOWED = [("com", "/"), ("www.example.com", "/en/")]
@@ -51,6 +53,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), ALLOWED, BLOCKED)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_token_counts(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,4 +72,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op6_url_filter,
-        op8_minhash_near_dedup, op9_language_id, op10_line_dedup)}
+        op7_token_counts, op8_minhash_near_dedup, op9_language_id, op10_line_dedup)}
