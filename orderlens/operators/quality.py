@@ -66,6 +66,6 @@ def check_mart(mart: DataFrame) -> None:
         F.count_if(F.col("is_late") == 0).alias("on_time"),
     ).first()
     if duplicate_keys(mart, "order_id").limit(1).count() > 0:
-        raise MartQualityError("Order aggregation produced duplicate order IDs.")
+        raise MartQualityError("the order mart has more than one row for an order_id")
     if not row["late"] or not row["on_time"]:
-        raise TargetClassError("The late-delivery target must contain both classes.")
+        raise TargetClassError("the mart needs late and on-time orders; one of the two is missing")

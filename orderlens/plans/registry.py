@@ -13,6 +13,7 @@ from orderlens.operators import findings, metrics as K
 from orderlens.operators import mart as M
 from orderlens.operators.quality import dq_violations
 from orderlens.plans.dashboard import fixture_mart, fixture_raw
+from orderlens.plans.ml_queries import ml_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,10 +78,4 @@ def dashboard_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    out = dashboard_queries()
-    try:
-        from orderlens.plans.ml_queries import ml_queries
-    except ImportError:  # ML layer not present
-        return out
-    out.update(ml_queries())
-    return out
+    return {**dashboard_queries(), **ml_queries()}

@@ -12,11 +12,6 @@ from orderlens.functions.columns import na_to_null
 from orderlens.schemas import CSV_EXTRA_TYPES, DATA_FILES, INGEST_COL, KEEP_FIRST_KEYS, RAW_COLUMNS
 from orderlens.sources.tables import RawTables
 
-# Tables whose free-text cells may hold quoted line breaks. Such files are read
-# whole per task; every other table is split by block.
-MULTILINE_TABLES = frozenset({"reviews"})
-
-
 def _csv_pos() -> F.Column:
     """File order of a CSV row: file, split start, then the id (increasing within a split)."""
     return F.struct(
@@ -26,32 +21,76 @@ def _csv_pos() -> F.Column:
     )
 
 
-def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+class CsvCellError(ValueError):
+    """Cells of a raw table that are neither missing nor of their column's type."""
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files behind a path, glob or folder (names only; no rows are read)."""
+    return sorted(spark.read.text(path).inputFiles())
+
+
+def _header(spark: SparkSession, file: str) -> list[str]:
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    return reader.csv(file).columns
+
+
+def read_csv_table(spark: SparkSession, path: str, name: str, on_bad_cell: str = "raise") -> DataFrame:
     """Read one raw table: header names, every cell as text, NA tokens to null, then typed.
 
-    Types come from the table contract (no inference). Cells that do not
-    parse as their type become null, as pandas' coercion does.
+    Files of a folder are read by header, one group per column order, so a file
+    with another order keeps its cells under their names. Quoted line breaks stay
+    inside their row in every table (a file is then one task: ingest large inputs
+    as many files). Rows with more or fewer cells than the header fail the read.
+    Cells that do not parse as their type raise ``CsvCellError`` with their count
+    per column; ``on_bad_cell="null"`` makes them null instead.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", "UTF-8")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .option("multiLine", name in MULTILINE_TABLES)
-    )
-    df = reader.csv(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in _files(spark, path):
+        groups.setdefault(tuple(_header(spark, file)), []).append(file)
+    if not groups:
+        raise ValueError(f"{path}: no files")
+    texts = []
+    for columns, files in groups.items():
+        missing = [c for c in RAW_COLUMNS[name] if c not in columns]
+        if missing:
+            raise ValueError(f"{files[0]}: missing columns {missing}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        reader = (
+            spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            .option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
+            .option("multiLine", True).option("mode", "FAILFAST")
+        )
+        part = reader.csv(files)
+        if name in KEEP_FIRST_KEYS:
+            part = part.select("*", _csv_pos().alias(INGEST_COL))
+        texts.append(part)
+    df = texts[0]
+    for part in texts[1:]:
+        df = df.unionByName(part, allowMissingColumns=True)
+
     types: dict[str, T.DataType] = {**RAW_COLUMNS[name], **CSV_EXTRA_TYPES.get(name, {})}
-    cols = []
+    cols, bad = [], []
     for c in df.columns:
-        cell = na_to_null(F.col(f"`{c}`"))
         target = types.get(c, T.StringType())
-        cols.append((cell if isinstance(target, T.StringType) else cell.try_cast(target)).alias(c))
-    missing = [c for c in RAW_COLUMNS[name] if c not in df.columns]
-    if missing:
-        raise ValueError(f"{path}: missing columns {missing}")
-    if name in KEEP_FIRST_KEYS:
-        cols.append(_csv_pos().alias(INGEST_COL))
+        if c == INGEST_COL:
+            cols.append(F.col(c))
+            continue
+        cell = na_to_null(F.col(f"`{c}`"))
+        if isinstance(target, T.StringType):
+            cols.append(cell.alias(c))
+            continue
+        typed = cell.try_cast(target)
+        exact = typed.isNotNull()
+        if isinstance(target, T.DecimalType):
+            wide = cell.try_cast(T.DecimalType(38, 18))
+            exact = exact & (typed.cast(T.DecimalType(38, 18)) == wide)
+        bad.append(F.count_if(cell.isNotNull() & ~F.coalesce(exact, F.lit(False))).alias(c))
+        cols.append(typed.alias(c))
+    if bad and on_bad_cell == "raise":
+        wrong = {c: n for c, n in df.agg(*bad).first().asDict().items() if n}
+        if wrong:
+            raise CsvCellError(f"{path}: cells that do not fit their type, by column: {wrong}")
     return df.select(*cols)
 
 

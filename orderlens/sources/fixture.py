@@ -115,7 +115,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> RawTables:
         .agg(F.min(INGEST_COL).alias(INGEST_COL))
         .select(
             F.col("p_brand").alias("product_category_name"),
-            F.concat(F.lit("cat_"), F.substring("p_brand", 7, 1_000_000)).alias("product_category_name_english"),
+            F.concat(F.lit("cat_"), F.expr("substring(p_brand, 7)")).alias("product_category_name_english"),
             INGEST_COL,
         )
     )

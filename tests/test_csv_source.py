@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pytest
+
 from orderlens.operators.mart import build_order_mart
 from orderlens.schemas import DATA_FILES
-from orderlens.sources.csv_tables import csv_tables
+from orderlens.sources.csv_tables import CsvCellError, csv_tables, read_csv_table
 
 FILES = {
     "orders": "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,"
@@ -54,3 +56,37 @@ def test_csv_catalog_end_to_end(spark):
     assert o4["is_late"] == 1 and o4["customer_state"] == "Unknown"
     assert o4["seller_state"] == "Unknown" and o4["product_category"] == "Unknown"
     assert str(o4["total_freight"]) == "0.0000"
+
+
+def _folder(files):
+    d = tempfile.mkdtemp()
+    for name, body in files.items():
+        with open(os.path.join(d, name), "w", encoding="utf-8") as fh:
+            fh.write(body)
+    return d
+
+
+@pytest.mark.parametrize("price", ["12345678901234567890123.00", "R$ 5.00", "1.2345678901"])
+def test_money_that_does_not_fit_raises(spark, price):
+    d = _folder({"a.csv": "order_id,order_item_id,product_id,seller_id,price,freight_value\n" f"o1,1,p,s,{price},1.00\n"})
+    with pytest.raises(CsvCellError, match="price"):
+        read_csv_table(spark, d, "items")
+    assert read_csv_table(spark, d, "items", on_bad_cell="null").count() == 1
+
+
+def test_large_money_is_kept(spark):
+    d = _folder({"a.csv": "order_id,payment_value\no1,12345678901234567.00\n"})
+    assert str(read_csv_table(spark, d, "payments").first()["payment_value"]) == "12345678901234567.0000"
+
+
+def test_files_with_another_column_order_keep_their_names(spark):
+    d = _folder({"a.csv": "customer_id,customer_unique_id,customer_state\nc1,u1,SP\n",
+                 "b.csv": "customer_state,customer_id,customer_unique_id\nRJ,c2,u2\n"})
+    rows = read_csv_table(spark, d, "customers").select("customer_id", "customer_unique_id", "customer_state").collect()
+    assert sorted(map(tuple, rows)) == [("c1", "u1", "SP"), ("c2", "u2", "RJ")]
+
+
+def test_quoted_line_break_outside_reviews_stays_in_its_row(spark):
+    d = _folder({"a.csv": 'seller_id,seller_city,seller_state\ns1,"rio\nde janeiro",RJ\n'})
+    rows = read_csv_table(spark, d, "sellers").collect()
+    assert [(r["seller_id"], r["seller_state"]) for r in rows] == [("s1", "RJ")]
