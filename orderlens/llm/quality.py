@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orderlens.llm.common import held_out, row_ranges, text_bytes
-from orderlens.llm.words import SPACE, mix, word_hashes, word_spans
+from orderlens.llm.words import mix, word_hashes, word_spans
 
 SAMPLE_PER_CLASS = 4000
 DIMENSIONS = 1 << 18
 THRESHOLD = 0.3
+SCORE = "_quality_score"
 _SLICE_BYTES = 1 << 21
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -202,7 +203,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS,
                   dimensions: int = DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` ids (and the columns of ``keep``) with ``score``: probability of label 1.
+    """``docs`` ids (or the columns of ``keep``) with ``_quality_score``: probability of label 1.
 
     ``learn`` is a condition over ``_id`` for label rows the model may see.
     """
@@ -220,9 +221,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
                      for a, b in row_ranges(off, _SLICE_BYTES)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)],
-                                             names=[*batch.schema.names[:-1], "score"])
+                                             names=[*batch.schema.names[:-1], SCORE])
 
-    schema = source.drop("_score_text").schema.add("score", "double")
+    schema = source.drop("_score_text").schema.add(SCORE, "double")
     return source.mapInArrow(score, schema)
 
 
@@ -230,12 +231,12 @@ def quality_predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
                         threshold: float = THRESHOLD) -> DataFrame:
     """Id, held_out, score, predicted; rows whose crc32(id) mod 5 is 0 are never learnt from."""
     scored = score_quality(docs, labels, ~held_out("_id", 5, 0), id_col, text_col)
-    return scored.select(id_col, held_out(id_col, 5, 0).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(id_col, held_out(id_col, 5, 0).alias("held_out"), F.col(SCORE).alias("score"),
+                         (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that the classifier does not reject, with their columns."""
     scored = score_quality(docs, labels, ~held_out("_id", 5, 0), id_col, text_col, keep=docs.columns)
-    return scored.filter(F.col("score") >= threshold).drop("score")
+    return scored.filter(F.col(SCORE) >= threshold).drop(SCORE)
