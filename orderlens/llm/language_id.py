@@ -35,7 +35,7 @@ SAMPLE_PER_LANGUAGE = 2000
 SWITCH_PENALTY = 12.0
 GRAM_SLOTS = 1 << 16
 _FAR = -30.0  # score step for a script a language does not write
-_SLICE_BYTES = 1 << 22
+_SLICE_BYTES = 1 << 23
 
 # First code points of the script ranges told apart
 SCRIPT_STARTS = [0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0700, 0x0900, 0x0980, 0x0E00, 0x0E80, 0x10A0,
@@ -193,23 +193,20 @@ def fit_languages(docs: DataFrame, learn: Column, id_col: str, text_col: str, la
         grams = {name: np.zeros(GRAM_SLOTS, np.int64) for name in languages}
         scripts = {name: np.zeros(len(SCRIPT_STARTS), np.int64) for name in languages}
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), object)
+            labels = np.array(batch.column(0).to_pylist(), object)
             data, off = text_bytes(batch.column(1))
-            codes, words, first = distinct_words(data, off)
-            if not words:
-                continue
-            row = np.repeat(np.arange(len(names)), np.diff(first))
-            word, slot = word_grams(words)
-            writes = [scripts_of(w) for w in words]
-            for name in set(names):
-                times = np.bincount(codes[names[row] == name], minlength=len(words))
-                grams[name] += np.bincount(slot, times[word], GRAM_SLOTS).astype(np.int64)
-                for bits, t in zip(writes, times.tolist()):
-                    k = 0
-                    while bits and t:
-                        scripts[name][k] += t * (bits & 1)
-                        bits >>= 1
-                        k += 1
+            for a, b in row_ranges(off, _SLICE_BYTES):
+                codes, words, first = distinct_words(data[off[a]: off[b]], off[a: b + 1] - off[a])
+                if not words:
+                    continue
+                names = np.repeat(labels[a:b], np.diff(first))
+                word, slot = word_grams(words)
+                writes = np.array([scripts_of(w) for w in words], np.int64)
+                for name in set(labels[a:b]):
+                    times = np.bincount(codes[names == name], minlength=len(words))
+                    grams[name] += np.bincount(slot, times[word], GRAM_SLOTS).astype(np.int64)
+                    for k in range(len(SCRIPT_STARTS)):
+                        scripts[name][k] += int(times[(writes >> k) & 1 == 1].sum())
         for name in languages:
             slots = np.flatnonzero(grams[name])
             used = np.flatnonzero(scripts[name])
@@ -248,19 +245,16 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             langs, scores, runs = [], [], []
-            codes, words, first = distinct_words(data, off)
-            if model.languages and words:
-                table, letters = model.word_scores(words)
             for a, b in row_ranges(off, _SLICE_BYTES):
+                codes, words, first = distinct_words(data[off[a]: off[b]], off[a: b + 1] - off[a])
                 if not model.languages or not words:
                     lang, score, paths = np.full(b - a, -1), np.zeros(b - a), [None] * (b - a)
                 else:
-                    lang, score, paths = model.label(table, letters, codes[first[a]: first[b]],
-                                                     first[a: b + 1] - first[a], penalty)
+                    lang, score, paths = model.label(*model.word_scores(words), codes, first, penalty)
                 langs += [names[j] for j in lang.tolist()]
                 scores += score.tolist()
                 if spans:
-                    size = np.diff(first[a: b + 1])
+                    size = np.diff(first)
                     runs += [_runs(p, int(n), int(j), names) for p, n, j in zip(paths, size, lang)]
             out = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(runs, span_type)] if spans else []),

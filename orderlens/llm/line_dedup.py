@@ -167,7 +167,9 @@ def linked_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int) ->
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("la"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    both = pairs.join(left, "a").join(right, "b").select(
+    # a bounded distance of the engine drops most candidates before characters are laid out
+    close = F.levenshtein("la", "lb", threshold) >= 0
+    both = pairs.join(left, "a").join(right, "b").filter(close).select(
         "a", "b", characters(F.col("la")).alias("xa"), characters(F.col("lb")).alias("xb"))
     # generators keep the optimizer from putting the character arrays into every step
     distance = F.explode_outer(F.array(banded_distance(F.col("xa"), F.col("xb"), threshold))).alias("distance")

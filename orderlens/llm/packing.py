@@ -82,13 +82,12 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
         bpe = word_bpe(tokenizer_path)
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            codes, distinct, first = bpe.pieces(data, off)
-            table = bpe.encode_pieces(distinct)
             owner, piece, start, length, crc = [], [], [], [], []
             for a, b in row_ranges(off, _SLICE_BYTES):
-                ids = table.expand(codes[first[a]: first[b]])
-                ends = np.concatenate([[0], np.cumsum(table.length[codes[first[a]: first[b]]])])
-                bounds = ends[first[a: b + 1] - first[a]]
+                codes, distinct, first = bpe.pieces(data[off[a]: off[b]], off[a: b + 1] - off[a])
+                table = bpe.encode_pieces(distinct)
+                ids = table.expand(codes)
+                bounds = np.concatenate([[0], np.cumsum(table.length[codes])])[first]
                 for r in range(a, b):
                     row = np.append(ids[bounds[r - a]: bounds[r - a + 1]], np.uint32(end_id)).astype("<u4")
                     for k, at in enumerate(range(0, len(row), max_length)):

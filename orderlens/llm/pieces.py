@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from orderlens.llm.words import SPACE, word_spans
 
-_MEMO_LIMIT = 400_000
+_MEMO_LIMIT = 300_000
 
 
 def tiles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:

@@ -56,10 +56,9 @@ def section_token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col:
         encoder = byte_pair(ranks_path, pattern)
         for batch in batches:
             data, off = text_bytes(batch.column(1))
-            codes, distinct, first, _ = tiles(data, off)
-            table = encoder.encode_tiles(distinct)
             for a, b in row_ranges(off, _SLICE_BYTES):
-                ids = table.expand(codes[first[a]: first[b]])
+                codes, distinct, _, _ = tiles(data[off[a]: off[b]], off[a: b + 1] - off[a])
+                ids = encoder.encode_tiles(distinct).expand(codes)
                 ends = np.cumsum(encoder.width[ids])
                 starts = ends - encoder.width[ids]
                 part = data[off[a]: off[b]]
