@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,31 +46,50 @@ SCRIPT_STARTS = [0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0700, 0x0900,
 _SAME_SCRIPT = {14: 0, 15: 1}
 
 
-def scripts_of(word: str) -> int:
-    """Bit set of the scripts of a word's letters; 0 if it has none."""
-    out = 0
-    for c in set(word):
-        if c.isalpha():
-            k = int(np.searchsorted(SCRIPT_STARTS, ord(c), side="right")) - 1
-            out |= 1 << _SAME_SCRIPT.get(k, k)
-    return out
-
-
-def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word index and slot of every 1- to 3-gram of the lower-cased letters of each word, framed by blanks."""
-    framed = [" " + "".join([c for c in w.lower() if c.isalpha()]) + " " for w in words]
-    sizes = np.fromiter(map(len, framed), np.int64, len(framed))
-    points = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner = np.repeat(np.arange(len(framed)), sizes)
+@lru_cache(maxsize=1)
+def _code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: is it a letter, its lower case (where that is one character), its script."""
+    chars = [chr(c) for c in range(0x110000)]
+    letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
+    lower = np.arange(len(chars), dtype=np.int64)
+    for c in np.flatnonzero(letter):
+        low = chars[c].lower()
+        lower[c] = ord(low) if len(low) == 1 else c
+    script = np.searchsorted(SCRIPT_STARTS, np.arange(len(chars)), side="right") - 1
+    for k, same in _SAME_SCRIPT.items():
+        script[script == k] = same
+    return letter, lower, script
+
+
+def word_letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased letters of all words and the word of each, and for each word the bit set of its scripts."""
+    letter, lower, script = _code_points()
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    use = letter[points]
+    points, owner = points[use], owner[use]
+    scripts = np.zeros(len(words), np.int64)
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    if len(first):
+        scripts[owner[first]] = np.bitwise_or.reduceat(np.int64(1) << script[points], first)
+    return lower[points], owner, scripts
+
+
+def letter_grams(points: np.ndarray, owner: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word index and slot of every 1- to 3-gram of each word's letters, framed by blanks."""
+    count = np.bincount(owner, minlength=n_words)
+    framed = np.full(len(points) + 2 * n_words, 0x20, np.uint64)
+    framed[np.arange(len(points)) + 2 * owner + 1] = points.astype(np.uint64)
+    owner = np.repeat(np.arange(n_words), count + 2)
     word, slot = [], []
     for n in (1, 2, 3):
-        m = max(0, len(points) - n + 1)
+        m = max(0, len(framed) - n + 1)
         gram = np.full(m, n, np.uint64)
         for k in range(n):
-            gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + points[k: k + m])
+            gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + framed[k: k + m])
         same = owner[:m] == owner[n - 1: n - 1 + m]
         if n == 1:
-            same &= points != 0x20
+            same &= framed != 0x20
         word.append(owner[:m][same])
         slot.append((gram[same] % np.uint64(GRAM_SLOTS)).astype(np.int64))
     return np.concatenate(word), np.concatenate(slot)
@@ -98,10 +118,9 @@ class LanguageModel:
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores (word x language) and letters of each word; words without letters score 0."""
         n, k = len(words), len(self.languages)
-        found = np.fromiter((scripts_of(w) if not w.isascii() else (1 if any(c.isalpha() for c in w) else 0)
-                             for w in words), np.int64, n)
-        letters = np.fromiter((sum(map(str.isalpha, w)) for w in words), np.int64, n)
-        word, slot = word_grams(words)
+        points, owner, found = word_letters(words)
+        letters = np.bincount(owner, minlength=n)
+        word, slot = letter_grams(points, owner, n)
         count = np.maximum(np.bincount(word, minlength=n), 1)
         scores = np.zeros((n, k))
         for j in range(k):
@@ -200,8 +219,8 @@ def fit_languages(docs: DataFrame, learn: Column, id_col: str, text_col: str, la
                 if not words:
                     continue
                 names = np.repeat(labels[a:b], np.diff(first))
-                word, slot = word_grams(words)
-                writes = np.array([scripts_of(w) for w in words], np.int64)
+                points, owner, writes = word_letters(words)
+                word, slot = letter_grams(points, owner, len(words))
                 for name in set(labels[a:b]):
                     times = np.bincount(codes[names == name], minlength=len(words))
                     grams[name] += np.bincount(slot, times[word], GRAM_SLOTS).astype(np.int64)
