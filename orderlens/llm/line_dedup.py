@@ -9,8 +9,9 @@ the multi-match-aware rule selects. Candidates are verified by bit-parallel edit
 distance over a diagonal band of 2 x threshold + 1 cells, in integer columns.
 
 Entries and probes carry counts of eight letters; an edit moves at most two of
-them by one, so the join's own condition drops pairs whose counts are too far
-apart, and groups of lines with a common segment do not come out as all pairs.
+them by one (in lines of one length the rest of the line counts too), so the join's
+own condition drops pairs whose counts are too far apart, and groups of lines with
+a common segment do not come out as all pairs.
 Work is on distinct lines: a line in every document is one row. Line ids are
 64-bit hashes; lines that share one would be one class (n^2 / 2^65 for n lines).
 Components come from label propagation on tables, not on the driver.
@@ -43,17 +44,6 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return trimmed.filter("line != ''").withColumn("id", F.xxhash64("line"))
 
 
-def segment_spans(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each segment: the last ones are a character longer."""
-    short, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    out, start = [], F.lit(0)
-    for k in range(parts):
-        size = short + F.when(longer >= parts - k, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
-
-
 def letter_counts(line: Column) -> Column:
     """Counts of eight letters, four bits each (modulo 16)."""
     size = F.octet_length(line)
@@ -64,42 +54,54 @@ def letter_counts(line: Column) -> Column:
     return out
 
 
-def counts_apart(a: Column, b: Column) -> Column:
-    """A lower bound of the sum of differences of the letter counts."""
-    total = F.lit(0)
+def counts_apart(a: Column, b: Column, same_length: bool) -> Column:
+    """A lower bound of the sum of differences of the letter counts.
+
+    In lines of one length the other characters differ by what the letters do not make up
+    for, so that difference is added.
+    """
+    total, surplus = F.lit(0), F.lit(0)
     for k in range(len(LETTERS)):
-        gap = F.abs(F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15))
-                    - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15)))
-        total = total + F.least(gap, F.lit(16) - gap)
-    return total
+        gap = (F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15))
+               - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15)))
+        total, surplus = total + _modulo_16(gap), surplus + gap
+    return total + _modulo_16(surplus) if same_length else total
 
 
-def index_entries(lines: DataFrame, threshold: int) -> DataFrame:
-    """Hash of (length, segment number, content) for the segments of each line."""
-    parts = threshold + 1
-    entries = [F.xxhash64("len", F.lit(k), F.substring("line", start + 1, size))
-               for k, (start, size) in enumerate(segment_spans(F.col("len"), parts))]
-    return lines.select("id", "counts", F.explode_outer(F.array(*entries)).alias("h"))
+def _modulo_16(gap: Column) -> Column:
+    rest = F.abs(gap) % 16
+    return F.least(rest, F.lit(16) - rest)
+
+
+def places(threshold: int) -> list[tuple[int, int, int]]:
+    """(characters that the partner is shorter by, its segment, places to the right) of the substrings to probe.
+
+    Segment k (from 0) at place p of a partner shorter by d can stand at p - k .. p + k
+    from the left and at p + d - (threshold - k) .. p + d + (threshold - k) from the
+    right; both must hold.
+    """
+    return [(d, k, move) for d in range(threshold + 1) for k in range(threshold + 1)
+            for move in range(max(-k, d - (threshold - k)), min(k, d + threshold - k) + 1)]
 
 
-def probe_entries(lines: DataFrame, threshold: int) -> DataFrame:
-    """Hash of (partner length, segment number, content) for substrings that could equal a partner's segment.
+def segment_hashes(lines: DataFrame, at: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """Hash of (partner length, segment number, content) for the substrings of each line at the given places.
 
-    For a partner shorter by d, segment k (from 0) at place p can stand at
-    p - k .. p + k from the left and at p + d - (parts - 1 - k) .. p + d + (parts - 1 - k)
-    from the right; both must hold.
+    A line of n characters has threshold + 1 segments of n / (threshold + 1) characters,
+    the last ones one longer. Places are rows, so the expressions stay small; ``code`` has
+    four bytes a character, so a substring is a slice and not a walk over characters.
     """
     parts = threshold + 1
-    entries: list[Column] = []
-    for shorter in range(threshold + 1):
-        partner = F.col("len") - shorter
-        for k, (start, size) in enumerate(segment_spans(partner, parts)):
-            right = parts - 1 - k
-            for move in range(max(-k, shorter - right), min(k, shorter + right) + 1):
-                at = start + move
-                fits = (partner >= parts) & (at >= 0) & (at + size <= F.col("len"))
-                entries.append(F.when(fits, F.xxhash64(partner, F.lit(k), F.substring("line", at + 1, size))))
-    return lines.select("id", "counts", F.explode_outer(F.array(*entries)).alias("h"))
+    spots = F.array(*[F.struct(F.lit(d).alias("shorter"), F.lit(k).alias("k"), F.lit(m).alias("move")) for d, k, m in at])
+    each = lines.select("id", "counts", "code", "len", F.explode(spots).alias("s")).select("id", "counts", "code", "len", "s.*")
+    each = each.withColumn("partner", F.col("len") - F.col("shorter"))
+    each = each.withColumn("short", F.floor(F.col("partner") / parts).cast("int")).withColumn("over", F.col("partner") % parts)
+    size = F.col("short") + (F.col("over") >= parts - F.col("k")).cast("int")
+    start = F.col("k") * F.col("short") + F.greatest(F.lit(0), F.col("over") + F.col("k") - parts) + F.col("move")
+    each = each.withColumn("size", size).withColumn("start", start).filter(
+        (F.col("partner") >= parts) & (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("len")))
+    content = F.substr("code", 4 * F.col("start") + 1, 4 * F.col("size"))
+    return each.select(F.xxhash64("partner", "k", content).alias("h"), "id", "counts")
 
 
 def characters(line: Column) -> Column:
@@ -159,12 +161,20 @@ def linked_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int) ->
     """
     lines = document_lines(docs, id_col, text_col).groupBy("id").agg(F.any_value("line").alias("line"))
     lines = lines.withColumn("len", F.length("line")).filter(F.col("len") > threshold)
-    counted = lines.withColumn("counts", letter_counts(F.col("line")))
-    index = index_entries(counted, threshold).select("h", F.col("id").alias("a"), F.col("counts").alias("ca"))
-    probes = probe_entries(counted, threshold).select("h", F.col("id").alias("b"), F.col("counts").alias("cb"))
-    near = counts_apart(F.col("ca"), F.col("cb")) <= 2 * threshold
-    met = index.join(probes, (index["h"] == probes["h"]) & (F.col("a") != F.col("b")) & near)
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    coded = lines.select("id", "len", F.encode("line", "UTF-32").alias("code"), letter_counts(F.col("line")).alias("counts"))
+    own = [(0, k, 0) for k in range(threshold + 1)]
+    index = segment_hashes(coded, own, threshold)
+    probes = segment_hashes(coded, [p for p in places(threshold) if p not in own], threshold)
+
+    def meet(others: DataFrame, once: Column, same_length: bool) -> DataFrame:
+        x = index.select("h", F.col("id").alias("a"), F.col("counts").alias("ca"))
+        y = others.select("h", F.col("id").alias("b"), F.col("counts").alias("cb"))
+        near = counts_apart(F.col("ca"), F.col("cb"), same_length) <= 2 * threshold
+        return x.join(y, (x["h"] == y["h"]) & once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    in_place = meet(index, F.col("a") < F.col("b"), True)
+    moved = meet(probes, F.col("a") != F.col("b"), False)
+    pairs = in_place.union(moved).distinct()
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("la"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("lb"))
     # a bounded distance of the engine drops most candidates before characters are laid out
