@@ -6,14 +6,15 @@ same as the word before). Each indicator is scaled by its class log-count ratio
 and a linear model with hinge loss is fitted by dual coordinate descent; its
 margin becomes a probability by a logistic fit on rows left out of the descent.
 
-The labelled rows for the fit are a hash sample of about ``SAMPLE_PER_CLASS``
-rows of each class (a documented bound, rows whole); every document is scored.
+The labelled rows for the fit are the ``SAMPLE_PER_CLASS`` rows of each class with
+the smallest id hashes (a documented bound, rows whole); every document is scored.
 
 Defined cases: words are as in the text, ASCII case folded for word n-grams; a
 null, empty or wordless text has no features and takes the score of a zero
-margin; repeated label rows of an id count once, by their larger label; without
-labels of both classes the score is the share of label 1, or 0.5 without labels;
-repeated rows get equal scores; empty tables give no rows; extra columns are ignored.
+margin; repeated label rows of an id count once, by their larger label, and of
+documents that share an id one is learnt from; without labels of both classes the
+score is the share of label 1, or 0.5 without labels; repeated rows get equal
+scores; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -172,10 +173,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     marks = marks.filter(learn)
     size = {r["_label"]: r["n"] for r in marks.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     share = {c: min(1.0, per_class / n) for c, n in size.items()}
-    limit = F.lit(0)
-    for c, s in share.items():
-        limit = F.when(F.col("_label") == c, int(s * 1_000_000)).otherwise(limit)
-    sample = marks.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < limit)
+    first = [marks.filter(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
+    # at most 2 * per_class rows of an id and a label: the texts stay where they are read
+    sample = F.broadcast(first[0].unionByName(first[1]))
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(sample, "_id")
 
     def indicators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +191,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
 
     kind = joined.schema["_id"].dataType.simpleString()
     found = joined.select("_id", "_text", "_label").mapInArrow(indicators, f"_id {kind}, _label int, _index array<int>")
+    # one row an id, however often its document is repeated
+    once = found.groupBy("_id", "_label").agg(F.min("_index").alias("_index"))
     rows, y = [], []
-    table = found.orderBy("_id").select("_label", "_index").toArrow()
-    for label, index in zip(table.column(0).to_pylist(), table.column(1)):
+    table = once.toArrow().sort_by("_id")
+    for label, index in zip(table.column("_label").to_pylist(), table.column("_index")):
         rows.append(index.values.to_numpy(zero_copy_only=False))
         y.append(label)
     y = np.array(y, np.int64)
