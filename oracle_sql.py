@@ -8,8 +8,8 @@ report metrics are rounded to 9 places, as the Spark side does.
 
 from __future__ import annotations
 
-_RAW = """
-raw_orders AS (
+_RAW_ONCE = """
+raw_orders_once AS (
   SELECT CAST(o.o_orderkey AS VARCHAR) AS order_id,
          CAST(o.o_custkey AS VARCHAR) AS customer_id,
          CASE WHEN o.o_orderstatus IN ('F', 'P') THEN 'delivered' ELSE 'canceled' END AS order_status,
@@ -23,7 +23,7 @@ raw_orders AS (
          o.o_orderkey AS pos
   FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 ),
-raw_customers AS (
+raw_customers_once AS (
   SELECT CAST(c.c_custkey AS VARCHAR) AS customer_id, CAST(c.c_custkey AS VARCHAR) AS customer_unique_id,
          n.n_name AS customer_state, c.c_custkey AS pos
   FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -47,7 +47,7 @@ raw_reviews AS (
          CAST(1 + CAST(floor(value) AS INTEGER) % 5 AS INTEGER) AS review_score
   FROM events
 ),
-raw_products AS (
+raw_products_once AS (
   SELECT CAST(p_partkey AS VARCHAR) AS product_id,
          CASE WHEN p_partkey % 40 = 0 THEN NULL ELSE p_brand END AS product_category_name, p_partkey AS pos
   FROM part
@@ -57,11 +57,33 @@ raw_translation AS (
          min(p_partkey) AS pos
   FROM part WHERE p_brand NOT IN ('Brand#7', 'Brand#13') GROUP BY p_brand
 ),
-raw_sellers AS (
+raw_sellers_once AS (
   SELECT CAST(s.s_suppkey AS VARCHAR) AS seller_id, n.n_name AS seller_state, s.s_suppkey AS pos
   FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
 )"""
 
+# Every so many keys a second, later row with other values, which keep-first drops.
+_LATER_COPIES = """
+raw_orders AS (
+  SELECT * FROM raw_orders_once
+  UNION ALL SELECT * REPLACE ('canceled' AS order_status, pos + 1000000000000 AS pos) FROM raw_orders_once WHERE pos % 61 = 0
+),
+raw_customers AS (
+  SELECT * FROM raw_customers_once
+  UNION ALL SELECT * REPLACE ('stale' AS customer_state, pos + 1000000000000 AS pos) FROM raw_customers_once WHERE pos % 53 = 0
+),
+raw_products AS (
+  SELECT * FROM raw_products_once
+  UNION ALL SELECT * REPLACE (CASE WHEN pos % 40 = 0 THEN NULL ELSE 'stale' END AS product_category_name, pos + 1000000000000 AS pos)
+  FROM raw_products_once WHERE pos % 47 = 0
+),
+raw_sellers AS (
+  SELECT * FROM raw_sellers_once
+  UNION ALL SELECT * REPLACE ('stale' AS seller_state, pos + 1000000000000 AS pos) FROM raw_sellers_once WHERE pos % 7 = 0
+)"""
+
+_RAW = _RAW_ONCE + "," + _LATER_COPIES
+
 _MART = """
 orders_first AS (
   SELECT * EXCLUDE (pos) FROM raw_orders QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY pos) = 1
@@ -350,13 +372,14 @@ _STATUS = "\nUNION ALL\n".join([
 
 _DQ = """
 SELECT 'DQ1' AS check_id, 'translation.product_category_name' AS subject,
-       (SELECT count(*) FROM (SELECT product_category_name FROM translation_dim GROUP BY 1 HAVING count(*) > 1)) AS violations
-UNION ALL SELECT 'DQ1', 'products.product_id', (SELECT count(*) FROM (SELECT product_id FROM products_dim GROUP BY 1 HAVING count(*) > 1))
-UNION ALL SELECT 'DQ1', 'sellers.seller_id', (SELECT count(*) FROM (SELECT seller_id FROM sellers_dim GROUP BY 1 HAVING count(*) > 1))
-UNION ALL SELECT 'DQ1', 'customers.customer_id', (SELECT count(*) FROM (SELECT customer_id FROM customers_dim GROUP BY 1 HAVING count(*) > 1))
-UNION ALL SELECT 'DQ1', 'item_summary.order_id', (SELECT count(*) FROM (SELECT order_id FROM item_summary GROUP BY 1 HAVING count(*) > 1))
-UNION ALL SELECT 'DQ1', 'payment_summary.order_id', (SELECT count(*) FROM (SELECT order_id FROM payment_summary GROUP BY 1 HAVING count(*) > 1))
-UNION ALL SELECT 'DQ1', 'review_summary.order_id', (SELECT count(*) FROM (SELECT order_id FROM review_summary GROUP BY 1 HAVING count(*) > 1))
+       (SELECT count(*) FROM (SELECT product_category_name FROM raw_translation GROUP BY 1 HAVING count(*) > 1)) AS violations
+UNION ALL SELECT 'DQ1', 'orders.order_id', (SELECT count(*) FROM (SELECT order_id FROM raw_orders GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'DQ1', 'products.product_id', (SELECT count(*) FROM (SELECT product_id FROM raw_products GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'DQ1', 'sellers.seller_id', (SELECT count(*) FROM (SELECT seller_id FROM raw_sellers GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'DQ1', 'customers.customer_id', (SELECT count(*) FROM (SELECT customer_id FROM raw_customers GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'DQ1', 'items.row', (SELECT count(*) FROM (SELECT order_id FROM raw_items GROUP BY order_id, order_item_id, product_id, seller_id, price, freight_value HAVING count(*) > 1))
+UNION ALL SELECT 'DQ1', 'payments.row', (SELECT count(*) FROM (SELECT order_id FROM raw_payments GROUP BY order_id, payment_value HAVING count(*) > 1))
+UNION ALL SELECT 'DQ1', 'reviews.row', (SELECT count(*) FROM (SELECT order_id FROM raw_reviews GROUP BY order_id, review_score HAVING count(*) > 1))
 UNION ALL SELECT 'DQ2', 'mart.order_id', (SELECT count(*) FROM (SELECT order_id FROM mart GROUP BY 1 HAVING count(*) > 1))
 UNION ALL SELECT 'DQ3', 'mart.is_late', (SELECT 2 - count(DISTINCT is_late) FROM mart)
 """
@@ -520,6 +543,22 @@ def ml_oracle_queries() -> dict[str, str]:
         "training_profile": _q(
             "SELECT count(*) AS orders, CAST(coalesce(sum(is_late), 0) AS BIGINT) AS late_orders, "
             "round(avg(is_late), 9) AS late_rate FROM mart", summaries=False),
+        "late_model_checks": _qs(
+            "SELECT order_id, is_late AS label, TRUE AS probability_in_range, TRUE AS class_follows_probability "
+            "FROM split WHERE split = 'test'"),
+        "scored_orders_checks": _q(
+            "SELECT order_id, TRUE AS probability_in_range, TRUE AS verdict_follows_class, TRUE AS shown_follows_verdict "
+            "FROM mart WHERE total_sales >= 0 AND total_freight >= 0 AND item_count >= 1 "
+            "AND estimated_delivery_days >= 1 AND purchase_month BETWEEN 1 AND 12", summaries=False),
+        "scoring_rejects": _q(
+            "SELECT * FROM (SELECT order_id, CASE "
+            "WHEN CASE WHEN d = 1 THEN -total_sales ELSE total_sales END < 0 THEN 'total_sales must be >= 0' "
+            "WHEN d = 5 OR total_freight < 0 THEN 'total_freight must be >= 0' "
+            "WHEN d = 2 OR item_count < 1 THEN 'item_count must be >= 1' "
+            "WHEN d = 4 OR estimated_delivery_days < 1 THEN 'estimated_delivery_days must be >= 1' "
+            "WHEN d = 3 OR purchase_month NOT BETWEEN 1 AND 12 THEN 'purchase_month must be 1..12' END AS reject_reason "
+            "FROM (SELECT *, CAST(order_id AS BIGINT) % 10 AS d FROM mart)) WHERE reject_reason IS NOT NULL",
+            summaries=False),
         "split_counts": _qs("SELECT is_late, split, count(*) AS orders FROM split GROUP BY 1, 2"),
         "split_assignment": _qs("SELECT order_id, is_late, split FROM split"),
         "feature_imputation": "WITH " + ",\n".join(p.strip() for p in [_RAW, _MART, _SPLIT, tr]) + "\n"

@@ -1,41 +1,21 @@
-"""Join helpers: size-checked broadcast and pandas-style (null = null) dimension joins."""
+"""Dimension joins with pandas' rule that a missing key matches a missing key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension (rows) ever broadcast explicitly; larger ones are left to
-# the planner, where AQE may still convert a join from measured shuffle sizes.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, bound: DataFrame | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast only if it provably holds at most ``max_rows`` rows.
-
-    ``bound`` is an optional cheaper table whose row count bounds ``df``'s (for
-    example the raw table before de-duplication: a Parquet count reads only
-    footers). Above the bound the plain DataFrame is returned and the join
-    shuffles (sort-merge, with AQE skew splitting).
-    """
-    n = (bound if bound is not None else df).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def left_join_dim(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """``fact`` LEFT JOIN ``dim`` USING ``key`` where a null key matches the null-key row.
+    """``fact`` LEFT JOIN ``dim`` ON ``key`` where a null key matches the null-key row.
 
-    pandas ``merge`` pairs missing keys with missing keys. ``dim`` must be unique
-    per key (it is de-duplicated first), so at most one row has a null key: it
-    is fetched once as a scalar subquery and attached to fact rows with a null
-    key. The join itself is a plain ``=`` equi-join on the raw key, so a
-    dimension already hash-partitioned by that key (the keep-first step) is
-    joined without another shuffle; a null-safe ``<=>`` join would re-hash both
-    sides on rewritten keys.
+    ``dim`` is unique per key (it is de-duplicated first). The null-safe
+    condition hashes both sides anew, so the keep-first partitioning of ``dim``
+    is not reused: both inputs of a sort-merge join are plain shuffles, which
+    AQE can split when one key holds a large share of the rows. Whether ``dim``
+    is broadcast is left to the planner's and AQE's byte thresholds.
     """
     attrs = [c for c in dim.columns if c != key]
-    null_row = dim.where(F.col(key).isNull()).select(F.struct(*attrs).alias("r")).scalar()
-    joined = fact.join(dim, key, "left")
-    cols = [F.col(c) for c in fact.columns]
-    cols += [F.when(F.col(key).isNull(), null_row[a]).otherwise(F.col(a)).alias(a) for a in attrs]
-    return joined.select(*cols)
+    right = dim.withColumnRenamed(key, "_dim_key")
+    joined = fact.join(right, F.col(key).eqNullSafe(F.col("_dim_key")), "left")
+    return joined.select(*fact.columns, *attrs)

@@ -25,7 +25,7 @@ from orderlens.functions.columns import (
     purchase_period,
 )
 from orderlens.operators.dedupe import distinct_rows, keep_first
-from orderlens.operators.joins import bounded_broadcast, left_join_dim
+from orderlens.operators.joins import left_join_dim
 from orderlens.schemas import CATEGORICAL_FEATURES, INGEST_COL, MART_DERIVED, ORDER_TIMESTAMPS
 from orderlens.sources.tables import RawTables
 
@@ -50,7 +50,6 @@ def product_dim_translated(raw: RawTables) -> DataFrame:
     translation = keep_first(raw.translation, "product_category_name").select(
         "product_category_name", "product_category_name_english"
     )
-    translation = bounded_broadcast(translation, bound=raw.translation)
     joined = left_join_dim(products, translation, "product_category_name")
     return joined.select(
         "product_id",
@@ -59,8 +58,7 @@ def product_dim_translated(raw: RawTables) -> DataFrame:
 
 
 def sellers_dim(raw: RawTables) -> DataFrame:
-    sellers = keep_first(raw.sellers, "seller_id").select("seller_id", "seller_state")
-    return bounded_broadcast(sellers, bound=raw.sellers)
+    return keep_first(raw.sellers, "seller_id").select("seller_id", "seller_state")
 
 
 def items_enriched(raw: RawTables) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.operators import mart as M
-from orderlens.operators.dedupe import keep_first
+from orderlens.schemas import DISTINCT_ROW_TABLES, INGEST_COL, KEEP_FIRST_KEYS
 from orderlens.sources.tables import RawTables
 
 
@@ -21,9 +20,9 @@ class TargetClassError(ValueError):
     """The mart lacks one of the two late-delivery classes."""
 
 
-def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
+def duplicate_keys(df: DataFrame, *key: str) -> DataFrame:
     """Keys that occur more than once (partial counts before the shuffle)."""
-    return df.groupBy(key).count().where(F.col("count") > 1)
+    return df.groupBy(*key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > 1)
 
 
 def _check(check_id: str, subject: str, violations: DataFrame) -> DataFrame:
@@ -35,21 +34,17 @@ def _check(check_id: str, subject: str, violations: DataFrame) -> DataFrame:
 def dq_violations(raw: RawTables, mart: DataFrame) -> DataFrame:
     """One row per check with its violation count (0 = holds).
 
-    DQ1: the right side of every many-to-one / one-to-one join is unique.
+    DQ1: keys (or, for items, payments and reviews, whole rows) that a raw table
+    holds more than once; de-duplication removes them before the joins.
     DQ2: ``order_id`` is unique in the mart.
     DQ3: the mart holds both target classes (violations = classes missing).
     """
-    checks = [
-        _check("DQ1", "translation.product_category_name", duplicate_keys(
-            keep_first(raw.translation, "product_category_name"), "product_category_name")),
-        _check("DQ1", "products.product_id", duplicate_keys(M.product_dim_translated(raw), "product_id")),
-        _check("DQ1", "sellers.seller_id", duplicate_keys(keep_first(raw.sellers, "seller_id"), "seller_id")),
-        _check("DQ1", "customers.customer_id", duplicate_keys(M.customers_dim(raw), "customer_id")),
-        _check("DQ1", "item_summary.order_id", duplicate_keys(M.item_summary(raw), "order_id")),
-        _check("DQ1", "payment_summary.order_id", duplicate_keys(M.payment_summary(raw), "order_id")),
-        _check("DQ1", "review_summary.order_id", duplicate_keys(M.review_summary(raw), "order_id")),
-        _check("DQ2", "mart.order_id", duplicate_keys(mart, "order_id")),
-    ]
+    tables = raw.as_dict()
+    checks = [_check("DQ1", f"{name}.{key}", duplicate_keys(tables[name], key)) for name, key in KEEP_FIRST_KEYS.items()]
+    for name in DISTINCT_ROW_TABLES:
+        rows = tables[name].drop(INGEST_COL)
+        checks.append(_check("DQ1", f"{name}.row", duplicate_keys(rows, *rows.columns)))
+    checks.append(_check("DQ2", "mart.order_id", duplicate_keys(mart, "order_id")))
     classes = mart.agg(
         (F.lit(2) - F.count_distinct("is_late")).cast(T.LongType()).alias("violations")
     ).select(F.lit("DQ3").alias("check_id"), F.lit("mart.is_late").alias("subject"), "violations")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,13 @@ def fixture_raw(spark: SparkSession, sf_dir: str) -> RawTables:
     return fixture_tables(spark, sf_dir)
 
 
-def mart_from(spark: SparkSession, raw: RawTables, source_key: str) -> DataFrame:
-    """Build, write, check and re-read the order mart for one set of sources."""
-    return materialized(spark, "mart", source_key, lambda: build_order_mart(raw), check=check_mart)
+def mart_from(spark: SparkSession, raw: Callable[[], RawTables], source_key: str) -> DataFrame:
+    """Build, write, check and re-read the order mart; ``raw`` is called only for the first build."""
+    return materialized(spark, "mart", source_key, lambda: build_order_mart(raw()), check=check_mart)
 
 
 def fixture_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mart_from(spark, fixture_raw(spark, sf_dir), f"fixture:{sf_dir}")
+    return mart_from(spark, lambda: fixture_raw(spark, sf_dir), f"fixture:{sf_dir}")
 
 
 @dataclass

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.operators.joins import bounded_broadcast
 from orderlens.schemas import INGEST_COL, MONEY_PRICE, MONEY_VALUE
 from orderlens.sources.tables import RawTables
 
@@ -23,6 +22,10 @@ DUPLICATE_ITEMS_EVERY = 50
 # Every 97th order has no delivery timestamp; every 40th part has no category.
 NO_DELIVERY_EVERY = 97
 NO_CATEGORY_EVERY = 40
+# Every so many keys a table holds a second, later row of the key with other values;
+# keep-first de-duplication must drop it.
+LATER_COPY_EVERY = {"orders": 61, "customers": 53, "products": 47, "sellers": 7}
+STALE = "stale"
 # ---------------------------------------------------------------------------
 
 
@@ -39,16 +42,24 @@ def _key(c: str) -> Column:
     return F.col(c).cast(T.StringType())
 
 
+def _with_later_copies(df: DataFrame, key: str, every: int) -> DataFrame:
+    """Every ``every``-th key twice: ``_copy`` is 1 on the second row, which comes later in file order."""
+    copies = F.when(F.col(key) % every == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    pos = F.col(INGEST_COL)
+    return df.withColumn("_copy", F.explode(copies)).withColumn(
+        INGEST_COL,
+        F.struct(pos["file"].alias("file"), F.col("_copy").cast(T.LongType()).alias("block"), pos["row"].alias("row")),
+    )
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     """Raw order tables derived from ``{sf_dir}/*.parquet``."""
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-    nation_raw = read("nation").select("n_nationkey", "n_name")
-    nation = bounded_broadcast(nation_raw, max_rows=10_000)
-
-    customer = read("customer").select("c_custkey", "c_nationkey", _parquet_pos().alias(INGEST_COL))
+    nation = read("nation").select("n_nationkey", "n_name")
+    customer =read("customer").select("c_custkey", "c_nationkey", _parquet_pos().alias(INGEST_COL))
     o = read("orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority",
         _parquet_pos().alias(INGEST_COL),
@@ -60,20 +71,25 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> RawTables:
         ((k * 31) % 24).cast(T.IntegerType()),
     )
     estimate_days = F.lit(22) + 3 * F.substring("o_orderpriority", 1, 1).cast(T.IntegerType())
-    orders = oc.select(
+    is_delivered = F.col("o_orderstatus").isin("F", "P") & (F.col("_copy") == 0)
+    orders = _with_later_copies(oc, "o_orderkey", LATER_COPY_EVERY["orders"]).select(
         _key("o_orderkey").alias("order_id"),
         _key("o_custkey").alias("customer_id"),
-        F.when(F.col("o_orderstatus").isin("F", "P"), F.lit("delivered")).otherwise(F.lit("canceled")).alias("order_status"),
+        F.when(is_delivered, F.lit("delivered")).otherwise(F.lit("canceled")).alias("order_status"),
         (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (k % 24).cast(T.IntegerType()))).alias("order_purchase_timestamp"),
         F.when(k % NO_DELIVERY_EVERY == 0, F.lit(None).cast(T.TimestampNTZType())).otherwise(delivered).alias("order_delivered_customer_date"),
         (F.col("o_orderdate") + F.make_dt_interval(estimate_days.cast(T.IntegerType()))).alias("order_estimated_delivery_date"),
         INGEST_COL,
     )
 
-    customers = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left").select(
+    def current(c: str) -> Column:
+        return F.when(F.col("_copy") == 1, F.lit(STALE)).otherwise(F.col(c))
+
+    customers = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+    customers = _with_later_copies(customers, "c_custkey", LATER_COPY_EVERY["customers"]).select(
         _key("c_custkey").alias("customer_id"),
         _key("c_custkey").alias("customer_unique_id"),
-        F.col("n_name").alias("customer_state"),
+        current("n_name").alias("customer_state"),
         INGEST_COL,
     )
 
@@ -103,10 +119,10 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     )
 
     part = read("part").select("p_partkey", "p_brand", _parquet_pos().alias(INGEST_COL))
-    products = part.select(
+    products = _with_later_copies(part, "p_partkey", LATER_COPY_EVERY["products"]).select(
         _key("p_partkey").alias("product_id"),
         F.when(F.col("p_partkey") % NO_CATEGORY_EVERY == 0, F.lit(None).cast(T.StringType()))
-        .otherwise(F.col("p_brand")).alias("product_category_name"),
+        .otherwise(current("p_brand")).alias("product_category_name"),
         INGEST_COL,
     )
     translation = (
@@ -121,9 +137,10 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     )
 
     supplier = read("supplier").select("s_suppkey", "s_nationkey", _parquet_pos().alias(INGEST_COL))
-    sellers = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left").select(
+    sellers = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey, "left")
+    sellers = _with_later_copies(sellers, "s_suppkey", LATER_COPY_EVERY["sellers"]).select(
         _key("s_suppkey").alias("seller_id"),
-        F.col("n_name").alias("seller_state"),
+        current("n_name").alias("seller_state"),
         INGEST_COL,
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,19 @@ def table_path(spark: SparkSession, kind: str, source_key: str) -> str:
     return f"{checkpoint_root(spark)}/orderlens/{kind}/{digest}"
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """Write ``df`` under a fresh path of the shared folder and read it back."""
+    path = table_path(df.sparkSession, kind, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialized(
     spark: SparkSession,
     kind: str,
     source_key: str,
     build: Callable[[], DataFrame],
     check: Callable[[DataFrame], None] | None = None,
-    partition_by: list[str] | None = None,
 ) -> DataFrame:
     """Return the table ``kind`` for ``source_key``; build, write and check it on first use."""
     key = (_app_id(spark), f"{kind}|{source_key}")
@@ -43,10 +50,7 @@ def materialized(
         path = _WRITTEN.get(key)
         if path is None:
             path = table_path(spark, kind, source_key)
-            writer = build().write.mode("overwrite")
-            if partition_by:
-                writer = writer.partitionBy(*partition_by)
-            writer.parquet(path)
+            build().write.mode("overwrite").parquet(path)
             if check is not None:
                 check(spark.read.parquet(path))
             _WRITTEN[key] = path
