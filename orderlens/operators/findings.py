@@ -70,13 +70,14 @@ TEXT = {
 FINDING_FIELDS = ["rule_id", "seq", "severity", "label", "subject", "metric_1", "metric_2", "metric_3", "text"]
 
 
-def dashboard_metrics(view: DataFrame) -> DataFrame:
+def dashboard_metrics(view: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Every scalar the rules read, as one row, in three scans of the view.
 
     Scan 1: one global aggregate (KPIs, late delay, review means). Scan 2: the
     category / state / month summaries via grouping sets, checkpointed (one
     row per group); concentration, peak, growth and risk leaders are read
     from that small table. Scan 3: orders per customer for the repeat rate.
+    ``groups`` is that small table where the caller already has it.
     """
     late = F.col("is_late") == 1
     status = F.col("delivery_status")
@@ -92,10 +93,12 @@ def dashboard_metrics(view: DataFrame) -> DataFrame:
         F.avg(F.when(status == "On Time", F.col("average_review_score"))).alias("review_on_time"),
         F.avg(F.when(status == "Late", F.col("average_review_score"))).alias("review_late"),
     )
-    # Materialise the small grouping-sets table once (shared checkpoint folder):
-    # every derived scalar then reads it instead of re-scanning the view.
-    checkpoint_root(view.sparkSession)
-    cats, states, months = K.split_grouping_table(K.grouping_table(view).checkpoint(eager=True))
+    if groups is None:
+        # Materialise the small grouping-sets table once (shared checkpoint folder):
+        # every derived scalar then reads it instead of re-scanning the view.
+        checkpoint_root(view.sparkSession)
+        groups = K.grouping_table(view).checkpoint(eager=True)
+    cats, states, months = K.split_grouping_table(groups)
     min_group = cats.agg(K.minimum_group_orders(F.sum("orders"))).scalar()
     peak = K._struct_scalar(K.peak_from(months))
     growth = K.growth_from(months).select("latest_growth").scalar()
@@ -112,7 +115,7 @@ def dashboard_metrics(view: DataFrame) -> DataFrame:
         rep["customers"].alias("customers"), rep["repeat_customers"].alias("repeat_customers"),
         rep["repeat_rate"].alias("repeat_rate"),
         F.coalesce(F.col("_late_delay"), F.lit(0.0)).alias("average_late_delay"),
-        (F.col("review_on_time") - F.col("review_late")).alias("review_gap"),
+        "review_on_time", "review_late", (F.col("review_on_time") - F.col("review_late")).alias("review_gap"),
         *K.risk_cols(cats, states, min_group),
     )
 

@@ -144,10 +144,33 @@ def category_eligible(view: DataFrame) -> DataFrame:
     return eligible(category_summary(view), view)
 
 
+def _leader(among: Column, falling: list[str], key: str, carry: list[str] = ()) -> Column:
+    """The group that leads by ``falling`` (each descending, nulls last), then by ``key``, as an aggregate.
+
+    A minimum over structs of negated measures: it merges per-partition leaders
+    and needs no sort. A measure ``m`` is read back as ``-_m``.
+    """
+    fields = [f for m in falling for f in (F.col(m).isNull().alias(f"_no_{m}"), (-F.col(m)).alias(f"_{m}"))]
+    return F.min(F.when(among, F.struct(*fields, key, *carry)))
+
+
 def concentration(view: DataFrame) -> DataFrame:
-    """Top category / state and their revenue shares; top-three category share."""
-    base = view.agg(F.sum("total_sales").cast(REVENUE).alias("total_revenue"))
-    return base.select(*concentration_cols(category_summary(view), state_summary(view), F.col("total_revenue")))
+    """Top category / state and their revenue shares; top-three category share (two scans of the view)."""
+    is_cat, is_state = F.col("_gid") == CATEGORY_SET, F.col("_gid") == STATE_SET
+    top3 = category_summary(view).orderBy(*_by_revenue("product_category")).limit(3).agg(F.sum("revenue")).scalar()
+    a = grouping_table(view).agg(
+        F.sum(F.when(is_cat, F.col("revenue"))).cast(REVENUE).alias("total"),
+        _leader(is_cat, ["revenue"], "product_category").alias("c"),
+        _leader(is_state, ["revenue"], "customer_state").alias("s"),
+    )
+    total = F.col("total")
+    return a.select(
+        F.col("c.product_category").alias("top_category"),
+        safe_ratio(-F.col("c._revenue"), total).alias("top_category_share"),
+        F.col("s.customer_state").alias("top_state"),
+        safe_ratio(-F.col("s._revenue"), total).alias("top_state_share"),
+        safe_ratio(top3, total).alias("top_three_category_share"),
+    )
 
 
 def concentration_cols(cats: DataFrame, states: DataFrame, total: Column) -> list[Column]:
@@ -253,9 +276,28 @@ def review_gap(view: DataFrame) -> DataFrame:
 
 
 def risk_leaders(view: DataFrame) -> DataFrame:
-    """Highest-risk eligible state and category; eligible category with the top freight share."""
-    cols = risk_cols(category_summary(view), state_summary(view), _min_group(view))
-    return view.agg(F.count("*").alias("_n")).select(*cols)
+    """Highest-risk eligible state and category; eligible category with the top freight share.
+
+    Two scans of the view: its row count (the minimum group size) and the group summaries.
+    """
+    enough = F.col("orders") >= _min_group(view)
+    is_cat, is_state = enough & (F.col("_gid") == CATEGORY_SET), enough & (F.col("_gid") == STATE_SET)
+    g = grouping_table(view).withColumn("freight_share", share_or_null("freight", "revenue"))
+    a = g.agg(
+        _leader(is_state, ["late_rate", "revenue"], "customer_state", ["orders"]).alias("s"),
+        _leader(is_cat, ["late_rate", "revenue"], "product_category", ["orders"]).alias("c"),
+        _leader(is_cat & F.col("freight_share").isNotNull(), ["freight_share", "revenue"], "product_category").alias("f"),
+    )
+    return a.select(
+        F.col("s.customer_state").alias("highest_risk_state"),
+        (-F.col("s._late_rate")).alias("highest_risk_state_late_rate"),
+        F.col("s.orders").alias("highest_risk_state_orders"),
+        F.col("c.product_category").alias("highest_risk_category"),
+        (-F.col("c._late_rate")).alias("highest_risk_category_late_rate"),
+        F.col("c.orders").alias("highest_risk_category_orders"),
+        F.col("f.product_category").alias("highest_freight_category"),
+        (-F.col("f._freight_share")).alias("highest_freight_category_share"),
+    )
 
 
 def risk_cols(cats: DataFrame, states: DataFrame, min_group: Column) -> list[Column]:
@@ -284,6 +326,8 @@ def risk_cols(cats: DataFrame, states: DataFrame, min_group: Column) -> list[Col
 
 
 _GS_KEYS = ["product_category", "customer_state", "purchase_period"]
+# grouping_id bit set = column aggregated away; bits follow _GS_KEYS order
+CATEGORY_SET, STATE_SET, MONTH_SET = 0b011, 0b101, 0b110
 
 
 def grouping_table(view: DataFrame) -> DataFrame:
@@ -305,29 +349,30 @@ def grouping_table(view: DataFrame) -> DataFrame:
 
 def split_grouping_table(g: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(category summary, state summary, monthly revenue) out of ``grouping_table``."""
-    # grouping_id bit set = column aggregated away; bits follow _GS_KEYS order
-    cats = g.where(F.col("_gid") == 0b011).select(
+    cats = g.where(F.col("_gid") == CATEGORY_SET).select(
         "product_category", "revenue", "freight", "orders", "late_rate",
         share_or_null("freight", "revenue").alias("freight_share"))
-    states = g.where(F.col("_gid") == 0b101).select("customer_state", "revenue", "orders", "late_rate", "average_delivery")
-    months = g.where(F.col("_gid") == 0b110).select("purchase_period", "revenue")
+    states = g.where(F.col("_gid") == STATE_SET).select("customer_state", "revenue", "orders", "late_rate", "average_delivery")
+    months = g.where(F.col("_gid") == MONTH_SET).select("purchase_period", "revenue")
     return cats, states, months
 
 
 def filter_domains(mart: DataFrame, state: str | None = None) -> DataFrame:
-    """Sorted option lists: states, categories (after the state filter), seller states."""
+    """Sorted option lists: states, categories (after the state filter), seller states (one scan)."""
 
-    def dom(df: DataFrame, name: str, col: str) -> DataFrame:
-        return df.select(F.lit(name).alias("domain"), F.col(col).alias("value")).distinct()
+    def option(name: str, col: str) -> Column:
+        return F.struct(F.lit(name).alias("domain"), F.col(col).alias("value"))
 
-    state_view = filter_view(mart, state=state)
-    return (
-        dom(mart, "customer_state", "customer_state")
-        .unionByName(dom(state_view, "product_category", "product_category"))
-        .unionByName(dom(mart, "model_product_category", "product_category"))
-        .unionByName(dom(mart, "seller_state", "seller_state"))
-        .orderBy("domain", "value")
+    options = F.array(
+        option("customer_state", "customer_state"),
+        option("product_category", "product_category"),
+        option("model_product_category", "product_category"),
+        option("seller_state", "seller_state"),
     )
+    if state not in (None, "All"):
+        chosen = F.coalesce(F.col("customer_state") == F.lit(state), F.lit(False))
+        options = F.filter(options, lambda o: (o["domain"] != "product_category") | chosen)
+    return mart.select(F.inline(options)).distinct().orderBy("domain", "value")
 
 
 def feature_defaults(mart: DataFrame) -> DataFrame:

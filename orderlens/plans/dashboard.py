@@ -6,7 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orderlens.config import checkpoint_root
 from orderlens.operators import findings, metrics
 from orderlens.operators.mart import build_order_mart
 from orderlens.operators.quality import check_mart
@@ -28,9 +30,18 @@ def fixture_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mart_from(spark, lambda: fixture_raw(spark, sf_dir), f"fixture:{sf_dir}")
 
 
+KPI_COLUMNS = [
+    "total_revenue", "total_freight", "total_orders", "late_orders", "average_order_value", "average_delivery",
+    "late_rate", "on_time_rate", "average_review", "freight_share", "minimum_group_orders",
+]
+CONCENTRATION_COLUMNS = [
+    "top_category", "top_category_share", "top_state", "top_state_share", "top_three_category_share",
+]
+
+
 @dataclass
 class DashboardView:
-    """All dashboard tables for one (state, category) filter pair, lazily."""
+    """All dashboard tables for one (state, category) filter pair."""
 
     mart: DataFrame
     state: str | None = None
@@ -41,26 +52,39 @@ class DashboardView:
         return metrics.filter_view(self.mart, self.state, self.category)
 
     def tables(self) -> dict[str, DataFrame]:
+        """Every table, in five scans of the mart.
+
+        The group summaries and the one-row metrics are computed here, once, and
+        checkpointed (one row per group, and one row); the tables read those two.
+        """
         v = self.view
+        checkpoint_root(v.sparkSession)
+        groups = metrics.grouping_table(v).checkpoint(eager=True)
+        m = findings.dashboard_metrics(v, groups).checkpoint(eager=True)
+        cats, states, months = metrics.split_grouping_table(groups)
+        cats = cats.orderBy(F.desc("revenue"), "product_category")
+        states = states.orderBy(F.desc("revenue"), "customer_state")
+        enough = F.col("orders") >= m.select("minimum_group_orders").scalar()
+        riskiest = [F.desc("late_rate"), F.desc("revenue"), F.asc("customer_state")]
         return {
-            "kpis": metrics.kpis(v),
-            "category_summary": metrics.category_summary(v),
-            "state_summary": metrics.state_summary(v),
-            "monthly_revenue": metrics.monthly_revenue(v),
-            "top_categories": metrics.top_categories(v),
-            "top_states": metrics.top_states(v),
-            "late_rate_by_state_eligible": metrics.late_rate_by_state_eligible(v),
-            "category_eligible": metrics.category_eligible(v),
-            "concentration": metrics.concentration(v),
-            "peak_period": metrics.peak_period(v),
-            "latest_growth": metrics.latest_growth(v),
-            "repeat_customers": metrics.repeat_customers(v),
-            "late_delay": metrics.late_delay(v),
-            "review_gap": metrics.review_gap(v),
-            "risk_leaders": metrics.risk_leaders(v),
-            "recommendations": findings.recommendations(v),
-            "insights": findings.insights(v),
-            "business_status": findings.business_status(v),
+            "kpis": m.select(*KPI_COLUMNS),
+            "category_summary": cats,
+            "state_summary": states,
+            "monthly_revenue": months.orderBy("purchase_period"),
+            "top_categories": cats.limit(metrics.TOP_K),
+            "top_states": states.limit(metrics.TOP_K),
+            "late_rate_by_state_eligible": states.where(enough).orderBy(*riskiest).limit(metrics.TOP_K),
+            "category_eligible": cats.where(enough),
+            "concentration": m.select(*CONCENTRATION_COLUMNS),
+            "peak_period": metrics.peak_from(months),
+            "latest_growth": metrics.growth_from(months),
+            "repeat_customers": m.select("customers", "repeat_customers", "repeat_rate"),
+            "late_delay": m.select("late_orders", "average_late_delay"),
+            "review_gap": m.select("review_on_time", "review_late", "review_gap"),
+            "risk_leaders": m.select(*[c for c in m.columns if c.startswith("highest_")]),
+            "recommendations": findings.recommendations_from(m),
+            "insights": findings.insights_from(m),
+            "business_status": findings.business_status_from(m),
             "preview": metrics.preview(v),
             "filter_domains": metrics.filter_domains(self.mart, self.state),
         }

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderlens.operators import findings, metrics as K
 from orderlens.operators import mart as M
@@ -51,9 +52,9 @@ def dashboard_queries() -> dict[str, Query]:
         "review_summary": _raw_query(M.review_summary),
         "kpis": _view_query(K.kpis),
         "kpis_filtered": _view_query(K.kpis, filtered=True),
-        "category_summary": _view_query(K.category_summary),
-        "state_summary": _view_query(K.state_summary),
-        "monthly_revenue": _view_query(K.monthly_revenue),
+        "category_summary": _view_query(lambda v: K.category_summary(v).orderBy(F.desc("revenue"), "product_category")),
+        "state_summary": _view_query(lambda v: K.state_summary(v).orderBy(F.desc("revenue"), "customer_state")),
+        "monthly_revenue": _view_query(lambda v: K.monthly_revenue(v).orderBy("purchase_period")),
         "late_rate_by_state_eligible": _view_query(K.late_rate_by_state_eligible),
         "category_eligible": _view_query(K.category_eligible),
         "top_categories": _view_query(K.top_categories),
