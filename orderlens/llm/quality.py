@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orderlens.llm.common import held_out, row_ranges, text_bytes
@@ -156,8 +157,12 @@ def fit_model(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray,
         aside = np.zeros(len(labels), bool)
     fit = np.flatnonzero(~aside)
     ratio = log_count_ratios([rows[i] for i in fit], labels[fit], dimensions)
-    scaled = [ratio[r] for r in rows]
-    scaled = [v / max(np.sqrt(v @ v), 1e-12) for v in scaled]
+    # one flat array behind all rows: its memory goes back to the system when the fit is done
+    ends = np.cumsum([len(r) for r in rows])
+    flat = ratio[np.concatenate(rows)]
+    scaled = np.split(flat, ends[:-1])
+    for v in scaled:
+        v /= max(np.sqrt(v @ v), 1e-12)
     w = dual_coordinate_descent([rows[i] for i in fit], [scaled[i] for i in fit], labels[fit], dimensions)
     check = np.flatnonzero(aside) if aside.any() else fit
     margin = np.array([w[rows[i]] @ scaled[i] for i in check])
@@ -193,13 +198,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     found = joined.select("_id", "_text", "_label").mapInArrow(indicators, f"_id {kind}, _label int, _index array<int>")
     # one row an id, however often its document is repeated
     once = found.groupBy("_id", "_label").agg(F.min("_index").alias("_index"))
-    rows, y = [], []
-    table = once.toArrow().sort_by("_id")
-    for label, index in zip(table.column("_label").to_pylist(), table.column("_index")):
-        rows.append(index.values.to_numpy(zero_copy_only=False))
-        y.append(label)
-    y = np.array(y, np.int64)
-    return rows, y, np.array([1.0 / max(share[c], 1e-6) for c in y.tolist()])
+    table = once.toArrow()
+    order = pc.sort_indices(table.column("_id")).to_numpy()
+    rows = [part for chunk in table.column("_index").chunks
+            for part in np.split(chunk.flatten().to_numpy(), chunk.value_lengths().to_numpy().cumsum()[:-1])[: len(chunk)]]
+    y = table.column("_label").to_numpy().astype(np.int64)[order]
+    return [rows[i] for i in order], y, np.array([1.0 / max(share[c], 1e-6) for c in y.tolist()])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -212,6 +216,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     spark = docs.sparkSession
     model = fit_model(*training_rows(docs, labels, learn, id_col, text_col, label_col, per_class, dimensions),
                       dimensions)
+    pa.default_memory_pool().release_unused()
     shared = spark.sparkContext.broadcast(model)
     names = [id_col] if keep is None else keep
     source = docs.select(*names, F.col(text_col).cast("string").alias("_score_text"))
