@@ -1,8 +1,8 @@
 """Token ids of whole texts under a public tokenizer, one encoding per distinct word.
 
 The pre-tokenizers used here never join a character with white space after it, so
-the tokens of a text are those of its words in order (with the white space before
-them, where the vocabulary has it). Arrow dictionary-encodes the words of a batch;
+the tokens of a text are those of its words in order (with the whole run of Unicode
+white space before them, where the vocabulary has it). Arrow dictionary-encodes the words of a batch;
 only distinct ones reach the tokenizer, and memos are cleared when they grow large.
 """
 
@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from orderlens.llm.words import SPACE, word_spans
+from orderlens.llm.words import SPACE, unicode_space, word_spans
 
 _MEMO_LIMIT = 300_000
 
@@ -22,10 +22,10 @@ _MEMO_LIMIT = 300_000
 def tiles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """Tile codes, distinct tiles, first tile of each row (n + 1 values) and tile end bytes.
 
-    A tile is a run of white space and the word after it, or a row's trailing
-    white space; the tiles of a row are exactly its bytes.
+    A tile is a whole run of Unicode white space and the word after it, or a row's
+    trailing white space; the tiles of a row are exactly its bytes.
     """
-    _, ends, _ = word_spans(data, off)
+    _, ends, _ = word_spans(data, off, unicode_space(data))
     ends = np.union1d(ends, off[1:][off[1:] > off[:-1]])
     bounds = np.concatenate([[0], ends]).astype(np.int64)
     column = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(data)])

@@ -35,9 +35,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of every word, and for each row the index of its first word (n + 1 values)."""
-    solid = ~SPACE[data]
+def unicode_space(data: np.ndarray) -> np.ndarray:
+    """Mask of the bytes of Unicode white space (``\\s`` of the tokenizers' patterns) in UTF-8 text."""
+    out = SPACE[data]
+    at = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    if len(at):
+        a = data[at]
+        b, c = data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        three |= (a == 0xE2) & (b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        three |= (a == 0xE2) & (b == 0x81) & (c == 0x9F)
+        for k in range(3):
+            out[at[three] + k] = True
+        out[at[two]] = out[at[two] + 1] = True
+    return out
+
+
+def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of every word, and for each row the index of its first word (n + 1 values).
+
+    ``space`` marks the bytes between words (default: ASCII white space).
+    """
+    solid = ~(SPACE[data] if space is None else space)
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)

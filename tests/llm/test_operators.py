@@ -125,6 +125,21 @@ def test_byte_tiles_equal_whole_text_encoding(corpus):
         assert int(bpe.width[ids].sum()) == len(t.encode())
 
 
+def test_byte_tiles_keep_runs_of_unicode_space_whole():
+    bpe = BytePair(RANKS, public_tokenizers.PATTERN)
+    spaces = [chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    near = ["\u200b", "\u180e", "\ufeff", "\x1c", "\u2060", "\u2010", "\u3001", "\u00a9"]  # not white space
+    texts = ["a \xa0 \xa0 b", " \xa0 \xa0 \xa0 \xa0 x", "Menu" + " \xa0" * 8 + " Home", "a \xa0\n\xa0\n b\xa0\n", "\xa0", "\u3000 "]
+    texts += [f"a{c}{c} {c}b {c} \n{c}9{c}" for c in spaces + near]
+    rng = random.Random(12)
+    texts += ["".join(rng.choice(spaces + near + ["a", "é", "1", "."]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    data, off = text_bytes(pa.array(texts))
+    codes, distinct, first, _ = tiles(data, off)
+    table = bpe.encode_tiles(distinct)
+    for r, t in enumerate(texts):
+        assert table.expand(codes[first[r]: first[r + 1]]).tolist() == bpe.encoding.encode_ordinary(t), t
+
+
 def test_packing_keeps_every_id_and_fills_sequences(spark, corpus):
     tok = Tokenizer.from_file(WORD_BPE)
     rows = best_fit_packing(docs_of(spark, corpus), WORD_BPE, max_length=256, group_rows=10).collect()
