@@ -9,9 +9,11 @@ Documents with equal shingle sets collapse to one representative first. In each
 bucket every member is compared with the bucket's centre by whole shingle sets;
 runs of two and three bands form deeper buckets with centres of their own, so
 close members of a large bucket meet without all pairs. Buckets whose members
-are still apart get new centres, twice. Work is linear in bucket members; rows
-are never dropped. A link is missed only if its two documents meet under no
-centre and no chain of links joins them (figures in the README). Components come
+are still apart get new centres, twice. Then every pair that shares a bucket and is
+still of two classes is tested: small buckets as rows of pairs, larger ones in
+blocks of members, a task for two blocks, where parity sketches drop pairs that
+cannot be similar before whole sets are compared. So no two similar documents
+that share a bucket stay apart. Rows are never dropped. Components come
 from label propagation on tables, not on the driver.
 
 Defined cases: words are runs of letters and digits as the text has them, in
@@ -37,6 +39,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 DEPTHS = (2, 3)
 RECENTRED = 2
+PAIRED = 16  # buckets up to this size lay out their pairs as rows
+BLOCK = 256  # members of a block of a larger bucket
+_SKETCH_BITS = 1024
 _SLICE_BYTES = 1 << 21
 _LOWEST = -4  # darts of ranks under 2^-4 come from one cell
 _HIGHEST = 40
@@ -179,6 +184,14 @@ def document_features(docs: DataFrame, id_col: str, text_col: str, bands: int =
                                        "_shingles binary, _bands array<long>")
 
 
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted shingle sets have at least this Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    joint = len(x) + len(y) - len(np.union1d(x, y))
+    return joint >= similarity * (len(x) + len(y) - joint) and joint > 0
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose whole shingle sets have at least this Jaccard similarity."""
     left = sets.select(F.col("_rep").alias("a"), F.col("_shingles").alias("_sa"))
@@ -189,11 +202,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x = np.frombuffer(x.as_buffer(), "<u4")
-                y = np.frombuffer(y.as_buffer(), "<u4")
-                joint = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) >= similarity * max(
-                    len(x), len(y)) else 0
-                keep.append(joint >= similarity * (len(x) + len(y) - joint) and joint > 0)
+                keep.append(alike(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), similarity))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)],
                                              names=["a", "b"])
@@ -253,6 +262,96 @@ def _pairs_with(members: DataFrame, centre: Column) -> DataFrame:
         F.least("_centre", "_rep").alias("a"), F.greatest("_centre", "_rep").alias("b")).distinct()
 
 
+def _with_labels(members: DataFrame, labels: DataFrame) -> DataFrame:
+    mine = labels.select(F.col("node").alias("_rep"), F.col("label").alias("_label"))
+    return members.join(mine, "_rep", "left").withColumn("_label", F.coalesce("_label", "_rep"))
+
+
+def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parities of the number of elements in each of 1024 cells, as 64-bit words, a row a set.
+
+    Sketches of two sets differ in at most as many bits as the sets have elements not in common.
+    """
+    out = np.empty((len(sets), _SKETCH_BITS // 8), np.uint8)
+    for r, x in enumerate(sets):
+        out[r] = np.packbits((np.bincount(x & np.uint32(_SKETCH_BITS - 1), minlength=_SKETCH_BITS) & 1).astype(bool))
+    return out.view(np.uint64)
+
+
+def block_links(labels: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray],
+                similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) that join the classes of one block with those of the other, or within a single block.
+
+    Every pair of two classes is tested unless links found here already join its classes.
+    """
+    size = np.array([len(x) for x in sets])
+    sketch = parity_sketches(sets)
+    left, right = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+    single = blocks.min() == blocks.max()
+    above: dict[int, int] = {}
+
+    def top(label: int) -> int:
+        while label in above:
+            label = above[label]
+        return label
+
+    out = []
+    for x in left:
+        ys = right[right > x] if single else right
+        ys = ys[labels[ys] != labels[x]]
+        differ = np.bitwise_count(sketch[x] ^ sketch[ys]).sum(axis=1, dtype=np.int64)
+        total = size[x] + size[ys]
+        most = (total - differ) / 2  # elements in common, at most
+        for y in ys[most >= similarity * (total - most)]:
+            a, b = top(int(labels[x])), top(int(labels[y]))
+            if a != b and alike(sets[x], sets[y], similarity):
+                above[a] = b
+                out.append((int(x), int(y)))
+    return out
+
+
+def rest_links(placed: DataFrame, stored: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of one bucket that are of two classes; all such pairs are tested.
+
+    A bucket's members are its largest class and the others, each dealt into blocks; two
+    blocks meet unless both are of the largest class, so no task holds a whole bucket.
+    """
+    by_class = placed.groupBy("_band", "_key", "_label").agg(F.count("*").alias("n"))
+    apart = by_class.groupBy("_band", "_key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "_label")).alias("_top"), F.count("*").alias("classes"))
+    apart = materialize(apart.filter("classes > 1").select("_band", "_key", "n", "_top"), "apart")
+    rest = materialize(placed.join(apart, ["_band", "_key"]), "apart-members")
+
+    small = rest.filter(F.col("n") <= PAIRED)
+    x = small.select("_band", "_key", F.col("_rep").alias("a"), F.col("_label").alias("la"))
+    y = small.select(F.col("_band").alias("yb"), F.col("_key").alias("yk"), F.col("_rep").alias("b"), F.col("_label").alias("lb"))
+    meet = (x["_band"] == y["yb"]) & (x["_key"] == y["yk"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+    pairs = x.join(y, meet).select("a", "b").distinct()
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+
+    in_top = F.col("_label") == F.col("_top._label")
+    n_top = F.ceil(F.col("_top.n") / BLOCK)
+    n_other = F.ceil((F.col("n") - F.col("_top.n")) / BLOCK)
+    spot = F.xxhash64("_rep", F.lit("block"))
+    dealt = rest.filter(F.col("n") > PAIRED).select(
+        "_band", "_key", "_rep", "_label", in_top.alias("in_top"), n_top.alias("n_top"), (n_top + n_other).alias("n_blocks"),
+        F.when(in_top, F.pmod(spot, n_top)).otherwise(n_top + F.pmod(spot, n_other)).alias("_block"))
+    meets = F.sequence(F.when(F.col("in_top"), F.col("n_top")).otherwise(F.lit(0).cast("long")), F.col("n_blocks") - 1)
+    rows = dealt.join(stored, "_rep").select("_band", "_key", "_rep", "_label", "_block", "_shingles",
+                                             F.explode(meets).alias("_other"))
+    rows = rows.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        reps, labels, blocks = (group[c].to_numpy() for c in ("_rep", "_label", "_block"))
+        sets = [np.frombuffer(s.as_buffer(), "<u4") for s in group["_shingles"]]
+        found = np.array(block_links(labels, blocks, sets, similarity), np.int64).reshape(-1, 2)
+        ends = np.sort(reps[found].astype(np.int64), axis=1)
+        return pa.table({"a": pa.array(ends[:, 0], pa.int64()), "b": pa.array(ends[:, 1], pa.int64())})
+
+    in_blocks = rows.groupBy("_band", "_key", "_low", "_high").applyInArrow(compare, "a long, b long")
+    return materialize(similar_pairs(pairs, stored, similarity).union(in_blocks).distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: float = SIMILARITY, bands: int = BANDS, rows_per_band: int = ROWS,
                     width: int = WIDTH) -> DataFrame:
@@ -283,8 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(similar_pairs(tried, stored, similarity), "links")
     labels = components(links)
     for turn in range(RECENTRED):
-        mine = labels.select(F.col("node").alias("_rep"), F.col("label").alias("_label"))
-        placed = members.join(mine, "_rep", "left").withColumn("_label", F.coalesce("_label", "_rep"))
+        placed = _with_labels(members, labels)
         apart = placed.groupBy("_band", "_key").agg(
             F.min("_label").alias("least"), F.max("_label").alias("most"),
             F.min(F.struct(F.xxhash64("_rep", F.lit(turn)).alias("h"), "_rep", "_label")).alias("c")).filter("least < most")
@@ -296,6 +394,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = tried.unionByName(pairs)
         links = materialize(similar_pairs(pairs, stored, similarity), "links")
         labels = merged(labels, links)
+    labels = merged(labels, rest_links(_with_labels(members, labels), stored, tried, similarity))
 
     by_set = sets.join(labels.select(F.col("node").alias("_rep"), F.col("label").alias("_l")), "_rep", "left").select(
         "_set_a", "_set_b", "_size", F.coalesce("_l", "_rep").alias("class_id"))

@@ -297,6 +297,32 @@ def test_near_duplicates_match_brute_force_classes(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_a_shared_passage_match_brute_force(spark):
+    """Documents of 100 shingles, 85 of them of one passage (Jaccard 0.74); half share 5 more with a partner (0.82)."""
+    rng = np.random.default_rng(21)
+    passage = " ".join(f"p{k}" for k in range(89))
+    n = 2400
+    own = [[f"w{v}" for v in rng.integers(0, 10 ** 9, 15)] for _ in range(n)]
+    for i in range(0, n // 2, 2):
+        own[i + 1][:5] = own[i][:5]
+    order = rng.permutation(n).tolist()
+    rows = [(order[i], passage + " " + " ".join(own[i])) for i in range(n)]
+    code, cells = {}, []
+    for i, t in rows:
+        w = t.split()
+        cells += [(i, code.setdefault(tuple(w[k: k + 5]), len(code))) for k in range(len(w) - 4)]
+    at = np.array(cells)
+    held = np.zeros((n, len(code)), np.float32)
+    held[at[:, 0], at[:, 1]] = 1
+    joint = held @ held.T
+    size = held.sum(axis=1)
+    similar = joint >= 0.8 * (size[:, None] + size[None, :] - joint)
+    expect = {i: int(np.flatnonzero(similar[i])[0]) for i in range(n)}  # classes are pairs at most
+    assert sum(i != c for i, c in expect.items()) == n // 4
+    got = minhash.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in got} == expect
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
