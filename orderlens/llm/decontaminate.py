@@ -11,7 +11,7 @@ The seed table is broadcast in blocks of items of bounded size; a benchmark
 beyond one block is met in several passes over the documents, which is exact at
 any size.
 
-Defined cases: words are runs of letters and digits, lower case for ASCII; an
+Defined cases: words are runs of Unicode letters and digits in lower case; an
 item of fewer than five words is matched as one run of all its words; null or
 wordless texts match nothing; repeated document rows give a row each, repeated
 items (same id) likewise; empty tables give no rows; extra columns are ignored.
@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from orderlens.llm.common import row_ranges, text_bytes
-from orderlens.llm.minhash import _FOLD
-from orderlens.llm.words import window_hashes, word_hashes, word_spans
+from orderlens.llm.words import folded_text, window_hashes, word_hashes, word_spans
 
 MIN_TILE = 5
 COVERAGE = 0.8
@@ -35,9 +34,9 @@ BLOCK_BYTES = 16 << 20
 _SLICE_BYTES = 1 << 22
 
 
-def folded_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def folded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word and the first word of each row."""
-    folded = _FOLD[data]
+    folded, off = folded_text(column)
     starts, ends, first = word_spans(folded, off)
     return word_hashes(folded, starts, ends), first
 
@@ -108,8 +107,7 @@ def _near_seeds(seeds: np.ndarray, n_words: int, reach: int) -> np.ndarray:
 def _block_overlaps(docs: DataFrame, ids: list, texts: list[str], min_tile: int, id_type: str) -> DataFrame:
     """Overlaps with one block of items; its words and seeds go to every task."""
     spark = docs.sparkSession
-    data, off = text_bytes(pa.array(texts, pa.string()))
-    words, first = folded_words(data, off)
+    words, first = folded_words(pa.array(texts, pa.string()))
     per_item = [words[first[i]: first[i + 1]] for i in range(len(ids))]
     widths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for width in sorted({min(min_tile, len(w)) for w in per_item if len(w)}):
@@ -125,10 +123,10 @@ def _block_overlaps(docs: DataFrame, ids: list, texts: list[str], min_tile: int,
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, by_width = shared.value
         for batch in batches:
-            data, off = text_bytes(batch.column(1))
+            _, off = text_bytes(batch.column(1))
             rows_out, item_out, covered, total, longest, tiles_n = [], [], [], [], [], []
             for a, b in row_ranges(off, _SLICE_BYTES):
-                words, first = folded_words(data[off[a]: off[b]], off[a: b + 1] - off[a])
+                words, first = folded_words(batch.column(1).slice(a, b - a))
                 seeds_of: dict[tuple[int, int], list[int]] = {}
                 for width, (hashes, owner) in by_width.items():
                     windows = window_hashes(words, width)

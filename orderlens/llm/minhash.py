@@ -16,8 +16,7 @@ cannot be similar before whole sets are compared. So no two similar documents
 that share a bucket stay apart. Rows are never dropped. Components come
 from label propagation on tables, not on the driver.
 
-Defined cases: words are runs of letters and digits as the text has them, in
-lower case for ASCII; a text of fewer than five words is one shingle of all its
+Defined cases: words are runs of Unicode letters and digits in lower case; a text of fewer than five words is one shingle of all its
 words; null, empty and wordless texts have no shingles and are each their own
 class; repeated rows share a class; extra columns are ignored.
 """
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orderlens.llm.common import materialize, row_ranges, text_bytes
-from orderlens.llm.words import mix, window_hashes, word_hashes, word_spans
+from orderlens.llm.words import folded_text, mix, window_hashes, word_hashes, word_spans
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -46,16 +45,11 @@ _SLICE_BYTES = 1 << 21
 _LOWEST = -4  # darts of ranks under 2^-4 come from one cell
 _HIGHEST = 40
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 0x20
-_FOLD[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20
-
 
 def shingles(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit hash of every run of ``width`` words (shorter texts: of all their words)."""
-    folded = _FOLD[data]
-    starts, ends, first = word_spans(folded, off)
-    words = word_hashes(folded, starts, ends)
+    """Row and 64-bit hash of every run of ``width`` words of folded texts (shorter texts: of all their words)."""
+    starts, ends, first = word_spans(data, off)
+    words = word_hashes(data, starts, ends)
     n = np.diff(first)
     count = np.where(n >= width, n - width + 1, 0)
     rows = np.repeat(np.arange(len(n)), count)
@@ -144,9 +138,9 @@ def document_features(docs: DataFrame, id_col: str, text_col: str, bands: int =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = text_bytes(batch.column(1))
+            _, off = text_bytes(batch.column(1))
             for a, b in row_ranges(off, _SLICE_BYTES):
-                rows, hashes = shingles(data[off[a]: off[b]], off[a: b + 1] - off[a], width)
+                rows, hashes = shingles(*folded_text(batch.column(1).slice(a, b - a)), width)
                 order = np.lexsort((hashes, rows))
                 rows, hashes = rows[order], hashes[order]
                 lead = np.ones(len(rows), bool)

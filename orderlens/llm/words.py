@@ -7,11 +7,23 @@ memory beyond the text itself is 8 bytes a word per array.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from orderlens.llm.common import text_bytes
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+_FOLD[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20
+
 _STEP = 1 << 20
 _LOW = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -35,6 +47,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def _letters_and_digits() -> np.ndarray:
+    """Mask over all code points: categories L and N."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def folded_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets of texts in lower case, with spaces for all but Unicode letters and digits.
+
+    Combining accents are composed with their letters first; sharp s is written ss and
+    a final sigma as any other, so that upper-cased copies are equal.
+    """
+    data, off = text_bytes(column)
+    if not len(data) or data.max() < 0x80:
+        return _FOLD[data], off
+    column = column.cast(pa.large_string())
+    if ((data == 0xCC) | (data == 0xCD)).any():
+        # not Arrow's utf8_normalize, whose NFC leaves accents apart
+        column = pa.array([t and unicodedata.normalize("NFC", t) for t in column.to_pylist()], pa.large_string())
+    data, off = text_bytes(pc.utf8_lower(column))
+    out = _FOLD[data]
+    at = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+    code = data[at] & (0x7F >> size).astype(np.uint8)
+    code = code.astype(np.int32)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | data[at[more] + k] & 0x3F
+    sign = ~_letters_and_digits()[code]
+    for k in range(4):
+        out[at[sign & (size > k)] + k] = 0x20
+    sharp = at[code == 0xDF]
+    out[sharp] = out[sharp + 1] = ord("s")
+    out[at[code == 0x3C2] + 1] = 0x83
+    return out, off
+
+
 def unicode_space(data: np.ndarray) -> np.ndarray:
     """Mask of the bytes of Unicode white space (``\\s`` of the tokenizers' patterns) in UTF-8 text."""
     out = SPACE[data]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -21,6 +22,7 @@ from orderlens.llm.packing import OpenBins, best_fit_packing
 from orderlens.llm.pieces import BytePair, WordBpe, tiles
 from orderlens.llm.substring_dedup import substring_dedup
 from orderlens.llm.token_counts import section_of, section_token_counts
+from orderlens.llm.words import folded_text
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -244,6 +246,37 @@ def test_decontamination_finds_whole_and_reordered_items(spark):
     assert decontaminate.benchmark_overlaps(empty(spark), bench).count() == 0
 
 
+ACCENTED = ("l’été où naïve Élodie mangeait des œufs à Genève près du château la señora Muñoz bebía café mañana "
+            "größere Straßen führen über schöne Brücken ins Tal").split()
+
+
+def test_folded_words_are_runs_of_unicode_letters_and_digits():
+    texts = ["Ünï — “Qu’ote” Ñ12\xa0Y…z", "ΑΣ ας 日本、語 𝔘x😀y ½", None, "", "Don't A_b", "e\u0301 É", "İ ß ẞ"]
+    data, off = folded_text(pa.array(texts))
+    got = [bytes(data[a:b]).decode().split() for a, b in zip(off, off[1:])]
+    assert got == [["ünï", "qu", "ote", "ñ12", "y", "z"], ["ας".replace("ς", "σ")] * 2 + ["日本", "語", "𝔘x", "y", "½"], [], [],
+                   ["don", "t", "a", "b"], ["é", "é"], ["i", "ss", "ss"]]
+
+
+def test_decontamination_finds_items_with_other_case_and_signs(spark):
+    item = " ".join(ACCENTED)
+    rows = [(1, "x y " + item.upper() + " z"), (2, item.replace(" ", "\xa0").replace("’", "'")), (3, item.replace(" ", " – “")),
+            (4, " ".join(ACCENTED[:9])), (5, unicodedata.normalize("NFD", item))]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontaminate.benchmark_overlaps(docs_of(spark, rows), bench).collect()
+    assert {r.doc_id: r.contaminated for r in got} == {1: True, 2: True, 3: True, 4: False, 5: True}
+    assert {r.coverage for r in got if r.contaminated} == {1.0}
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs_of(spark, rows), bench).collect()] == [4]
+
+
+def test_near_duplicates_with_other_case_and_signs_meet(spark):
+    text = " ".join(ACCENTED)
+    rows = [(1, text), (2, text.upper()), (3, text.replace("’", "'").replace(" ", "\xa0")),
+            (4, "“" + text.replace(" ", "” — “") + "…"), (5, " ".join(reversed(ACCENTED)))]
+    got = minhash.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     n, joint = 300, 200
