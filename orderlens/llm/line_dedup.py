@@ -19,8 +19,9 @@ Components come from label propagation on tables, not on the driver.
 Defined cases: lines are what stands between line feeds, with ASCII white space
 trimmed at both ends; empty lines are neither linked nor repeated; a null text
 has no lines; lines up to ``threshold`` characters have empty segments and are
-compared only for equality; repeated rows repeat their lines; of a class of lines
-the smallest (document id, line number) stays; extra columns are ignored.
+compared only for equality; every input row is a document of its own, also with a
+null or repeated id; of a class of lines the smallest (document id, row, line
+number) stays, null ids last; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +45,19 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return trimmed.filter("line != ''").withColumn("id", F.xxhash64("line"))
 
 
+def document_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_row`` (a key of the input row), ``_id``, line number and id of every non-empty line, written as a table.
+
+    A row whose first line is empty has it too, with a null id, so that every input row is there.
+    """
+    text = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"),
+                       F.col(text_col).cast("string").alias("_text"))
+    lines = text.select("_row", "_id", F.posexplode_outer(F.split("_text", "\n")).alias("line_no", "_raw"))
+    trimmed = lines.select("_row", "_id", "line_no", F.btrim("_raw", F.lit(" \t\n\x0b\f\r")).alias("line"))
+    placed = trimmed.select("_row", "_id", "line_no", F.when(F.col("line") != "", F.xxhash64("line")).alias("id"))
+    return materialize(placed.filter("id is not null or coalesce(line_no, 0) = 0"), "line-places")
+
+
 def letter_counts(line: Column) -> Column:
     """Counts of eight letters, four bits each (modulo 16)."""
     size = F.octet_length(line)
@@ -191,22 +205,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """A row per document: lines, removed lines and their numbers (not the first of their class)."""
     links = materialize(linked_lines(docs, id_col, text_col, threshold), "line-links")
     labels = components(links)
-    lines = document_lines(docs, id_col, text_col)
-    place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("line_no").alias("line_no"))
+    places = document_places(docs, id_col, text_col)
+    lines = places.filter("id is not null")
+    place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"),
+                     F.col("line_no").alias("line_no"))
     by_id = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classed = by_id.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(
         "id", F.coalesce("label", "id").alias("class_id"), "first", "n")
     classed = materialize(classed, "line-ids")
     first = classed.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
-    repeated = classed.select("id", "class_id").join(materialize(first, "line-classes"), "class_id").select("id", "first")
+    repeated = classed.select("id", "class_id").join(materialize(first, "line-classes"), "class_id").select(
+        "id", F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_line"))
     repeated = materialize(repeated, "line-repeats")
-    judged = lines.select("_id", "line_no", "id").join(repeated, "id", "left")
-    away = F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first"))
-    per_doc = judged.groupBy("_id").agg(F.count("*").alias("n_lines"), F.collect_list(
-        F.when(away, F.col("line_no"))).alias("removed_lines"))
-    per_doc = materialize(per_doc, "line-documents")
-    ids = docs.select(F.col(id_col).alias(id_col))
-    joined = ids.join(per_doc, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    removed = F.array_sort(F.coalesce("removed_lines", F.array().cast("array<int>")))
-    return joined.select(id_col, F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"),
-                         F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    judged = lines.join(repeated, "id", "left")
+    away = (F.col("first_row") != F.col("_row")) | (F.col("first_line") != F.col("line_no"))
+    judged = judged.select("_row", "_id", F.lit(1).alias("line"), F.when(away, F.col("line_no")).alias("removed"))
+    none = places.filter("id is null").select("_row", "_id", F.lit(0).alias("line"), F.lit(None).cast("int").alias("removed"))
+    per_row = judged.union(none).groupBy("_row").agg(
+        F.any_value("_id").alias(id_col), F.sum("line").alias("n_lines"),
+        F.array_sort(F.collect_list("removed")).alias("removed_lines"))
+    return per_row.select(id_col, "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")

@@ -421,6 +421,19 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_and_of_no_id_apart(spark):
+    text = "first common line\nsecond common line\n\nown words of this text"
+    rows = [(1, text), (1, text), (2, "other things\nfirst common line"), (None, "null one here\nsecond common line"),
+            (None, "null one here\nlast of its kind"), (None, None), (None, ""), (None, "\n\nlast of its kind"), (3, None), (3, "")]
+    got = line_dedup.line_dedup(docs_of(spark, rows).repartition(3)).collect()
+    assert len(got) == len(rows) and all(r.n_removed == len(r.removed_lines) for r in got)
+    of = {i: sorted((r.n_lines, tuple(r.removed_lines)) for r in got if r.doc_id == i) for i in (1, 2, 3, None)}
+    assert of[1] == [(3, ()), (3, (0, 1, 3))] and of[2] == [(2, (1,))] and of[3] == [(0, ()), (0, ())]
+    assert sorted(r[0] for r in of[None]) == [0, 0, 1, 2, 2]
+    # a line that only null-id rows have stays in one of them; one that others have stays in none
+    assert sum(len(r[1]) for r in of[None]) == 3
+
+
 def test_url_filter_equals_direct_matching(spark):
     rng = random.Random(1)
     hosts = ["www.Example.com", "example.com", "a.b.example.com", "notexample.com", "x.net", "net", "m.org", "com", ""]
