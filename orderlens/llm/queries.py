@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orderlens.llm.common import table
 from orderlens.llm.decontaminate import benchmark_overlaps
 from orderlens.llm.exact_dedup import exact_dedup
 from orderlens.llm.language_id import language_predictions
 from orderlens.llm.line_dedup import line_dedup
+from orderlens.llm.merkle import fold, leaf_digest, merkle_proofs, proof_digest
 from orderlens.llm.minhash import near_duplicates
 from orderlens.llm.packing import best_fit_packing
 from orderlens.llm.quality import quality_predictions
@@ -69,7 +70,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's crc32 divides by 3 are presented with the A-Z of their text lower-cased (null ids: unchanged)."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    text = F.when(tampered, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    shown = leaf_digest([text if c == "text" else F.col(c) for c in LEAF_FIELDS])
+    rows = merkle_proofs(table(spark, sf_dir, "documents"), "doc_id", "lang", LEAF_FIELDS, {"shown": shown})
+    rows = rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"),
+                       fold(F.col("shown"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op6_url_filter,
-        op7_token_counts, op8_minhash_near_dedup, op9_language_id, op10_line_dedup)}
+        op7_token_counts, op8_minhash_near_dedup, op9_language_id, op10_line_dedup, op11_merkle_manifest)}
