@@ -259,11 +259,10 @@ def _aligned(source: DataFrame, path_a: str, path_b: str, batch_bytes: int) -> D
                 part = batch.slice(s, e - s)
                 docs, keys, counts = align_batch(part.column("_text"), a, b)
                 rows = e - s
-                empty = pa.nulls(1, pa.int64())
                 columns = {"_batch": pa.array(np.full(rows + 1, number)),
                            "_id": pa.concat_arrays([part.column("_id"), pa.nulls(1, part.column("_id").type)])}
                 for name, t in _DOC.items():
-                    columns[name] = pa.concat_arrays([pa.array(docs[name], t), empty.cast(t)])
+                    columns[name] = pa.concat_arrays([pa.array(docs[name], t), pa.nulls(1, t)])
                 for name, values in (("keys", keys), ("counts", counts)):
                     ends = pa.array([0] * (rows + 1) + [len(values)], pa.int32())
                     lists = pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()))
@@ -295,7 +294,7 @@ def token_alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     aligned = materialize(_aligned(source, path_a, path_b, batch_bytes), "token-align")
     local, total = pair_counts(aligned)
     total = total.withColumnRenamed("key", "total_key")
-    replies = local.join(total, F.col("key") == F.col("total_key")).select("_batch", "at", "docs", "is_best")
+    replies = local.join(total, F.col("key") == F.col("total_key")).select(F.col("_batch").alias("_to"), "at", "docs", "is_best")
     rows = aligned.filter(F.col("keys").isNull()).drop("keys", "counts")
 
     def sums(part: pa.Table, reply: pa.Table) -> pa.Table:
@@ -312,6 +311,6 @@ def token_alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
         out = out.append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64()))
         return out.append_column("groups_sha256", part.column("groups_sha256"))
 
-    out = rows.groupBy("_batch").cogroup(replies.groupBy("_batch")).applyInArrow(
+    out = rows.groupBy("_batch").cogroup(replies.groupBy("_to")).applyInArrow(
         sums, f"_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return out.withColumnRenamed("_id", id_col)
