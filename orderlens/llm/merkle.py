@@ -56,7 +56,7 @@ def fold(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, leaf, lambda node, l: digest(F.concat(l["left"], node, l["right"])))
 
 
-def _placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+def placed(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """``rows`` with their place in their group ``_g`` (from 0) and the group's size."""
     keys = ["_g", *order]
     ranged = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *[F.col(c).asc_nulls_first() for c in keys])
@@ -142,7 +142,7 @@ def _butterfly(blocks: DataFrame) -> DataFrame:
 
 def _tree(rows: DataFrame, order: Sequence[str], carry: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Blocks of the trees over ``rows`` (``_g``, ``_leaf``, order and carry columns), and per block what is above it."""
-    blocks = materialize(_blocks(_placed(rows, order), carry), "merkle-blocks")
+    blocks = materialize(_blocks(placed(rows, order), carry), "merkle-blocks")
     return blocks, materialize(_butterfly(blocks), "merkle-above")
 
 

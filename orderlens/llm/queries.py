@@ -16,6 +16,7 @@ from orderlens.llm.merkle import fold, leaf_digest, merkle_proofs, proof_digest
 from orderlens.llm.minhash import near_duplicates
 from orderlens.llm.packing import best_fit_packing
 from orderlens.llm.quality import quality_predictions
+from orderlens.llm.repeat_spans import repeat_spans
 from orderlens.llm.substring_dedup import substring_dedup
 from orderlens.llm.token_align import token_alignment
 from orderlens.llm.token_counts import section_token_counts
@@ -88,6 +89,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
@@ -96,4 +101,4 @@ def llm_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op6_url_filter,
         op7_token_counts, op8_minhash_near_dedup, op9_language_id, op10_line_dedup, op11_merkle_manifest,
-        op13_token_alignment)}
+        op12_suffix_array_dedup, op13_token_alignment)}
