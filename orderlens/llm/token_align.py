@@ -33,31 +33,53 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from orderlens.llm.common import materialize, row_ranges, text_bytes
-from orderlens.llm.pieces import Lengths, tiles
+from orderlens.llm.words import unicode_space
 
 BATCH_BYTES = 2 << 20
 LANE_BYTES = 512
-_MEMO_LIMIT = 300_000
+_MEMO_LIMIT = 600_000
 _BLANK = 0x20
 _B_BITS = 16
 
 
 class _Tiles:
-    """Ids of distinct tiles, remembered; None for tiles whose token bytes are not the tile."""
+    """Ids of distinct tiles, remembered in one array; none for tiles whose token bytes are not the tile."""
 
-    def __init__(self) -> None:
-        self.memo: dict[bytes, tuple | None] = {}
+    token: list[bytes]
 
-    def encode(self, distinct: list[bytes]) -> tuple[Lengths, np.ndarray]:
-        """The ids of each tile, and which tiles are not equal to their tokens."""
-        memo = self.memo
-        if len(memo) > _MEMO_LIMIT:
-            memo.clear()
-        new = [t for t in distinct if t not in memo]
-        for tile, ids in zip(new, self._ids(new) if new else []):
-            memo[tile] = tuple(ids) if b"".join([self.token[i] for i in ids]) == tile else None
-        out = [memo[t] for t in distinct]
-        return Lengths([x or () for x in out]), np.array([x is None for x in out], bool)
+    def __init__(self) -> None:
+        self.width = np.array([len(t) for t in self.token], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.wrong, self.flat = np.zeros(0, bool), np.zeros(0, np.int32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        ids = self._ids(new)
+        for k, (tile, x) in enumerate(zip(new, ids)):
+            if b"".join([self.token[i] for i in x]) != tile:
+                ids[k] = None
+        known = len(self.number)
+        self.number.update(zip(new, range(known, known + len(new))))
+        length = np.array([len(x or ()) for x in ids], np.int64)
+        self.start = np.append(self.start, np.cumsum(length) - length + len(self.flat))
+        self.length = np.append(self.length, length)
+        self.wrong = np.append(self.wrong, np.array([x is None for x in ids], bool))
+        self.flat = np.append(self.flat, np.array([i for x in ids if x for i in x], np.int32))
+
+    def encode(self, codes: np.ndarray, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a sequence of tiles, and which of the tiles are not equal to their tokens."""
+        if len(self.number) > _MEMO_LIMIT:
+            self._forget()
+        new = [t for t in distinct if t not in self.number]
+        if new:
+            self._learn(new)
+        tile = np.array([self.number[t] for t in distinct], np.int64)[codes]
+        n = self.length[tile]
+        at = np.repeat(self.start[tile] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.flat[at], self.wrong[tile]
 
 
 class ByteLevel(_Tiles):
@@ -66,7 +88,6 @@ class ByteLevel(_Tiles):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
@@ -80,6 +101,7 @@ class ByteLevel(_Tiles):
         for entry, i in self.tok.get_vocab().items():
             if all(c in byte_of for c in entry):
                 self.token[i] = bytes([byte_of[c] for c in entry])
+        super().__init__()
 
     def _ids(self, distinct: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast([t.decode() for t in distinct], add_special_tokens=False)]
@@ -91,7 +113,6 @@ class Pieces(_Tiles):
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        super().__init__()
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         entries = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         if any("▁" in e.lstrip("▁") for e in entries):
@@ -99,6 +120,7 @@ class Pieces(_Tiles):
         self.token = [bytes([int(e[1:-1], 16)]) if sp.is_byte(i) else e.replace("▁", " ").encode()
                       for i, e in enumerate(entries)]
         self.blank = sp.piece_to_id("▁")
+        super().__init__()
 
     def _ids(self, distinct: list[bytes]) -> list[list[int]]:
         # every tile starts with a blank, which the model adds; a blank alone it would not
@@ -112,26 +134,24 @@ def tokenizer(kind: type, path: str) -> _Tiles:
     return kind(path)
 
 
-def blank_tiles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """As ``pieces.tiles``, cut only before runs of U+0020 (all rows start with one)."""
-    blank = data == _BLANK
-    cut = blank.copy()
-    cut[1:] &= ~blank[:-1]
+def tiles(data: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Codes and distinct values of tiles, and their start bytes: runs of ``space`` with what follows, by row."""
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
     cut[off[:-1][off[:-1] < len(data)]] = True
     bounds = np.append(np.flatnonzero(cut), len(data)).astype(np.int64)
     column = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
     coded = column.dictionary_encode()
-    return np.asarray(coded.indices), coded.dictionary.to_pylist(), np.searchsorted(bounds[1:], off, side="right"), bounds[1:]
+    return np.asarray(coded.indices), coded.dictionary.to_pylist(), bounds[:-1]
 
 
-def tokens(tok: _Tiles, data: np.ndarray, off: np.ndarray, cut) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, their end bytes, a mask of rows that their tokens do not spell, and the end bytes of tiles."""
-    codes, distinct, first, tile_ends = cut(data, off)
-    lengths, wrong = tok.encode(distinct)
-    ids = lengths.expand(codes)
-    seen = np.concatenate([[0], np.cumsum(wrong[codes])])
-    width = np.fromiter((len(t) for t in tok.token), np.int64, len(tok.token))
-    return ids, np.cumsum(width[ids]), seen[first[1:]] > seen[first[:-1]], tile_ends
+def tokens(tok: _Tiles, data: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, their end bytes, and a mask of rows that their tokens do not spell."""
+    codes, distinct, starts = tiles(data, off, space)
+    ids, wrong = tok.encode(codes, distinct)
+    first = np.searchsorted(starts, off)
+    seen = np.concatenate([[0], np.cumsum(wrong)])
+    return ids, np.cumsum(tok.width[ids]), seen[first[1:]] > seen[first[:-1]]
 
 
 def lockstep(end_a: np.ndarray, end_b: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,17 +232,21 @@ def align_batch(texts: pa.Array, a: _Tiles, b: _Tiles) -> tuple[dict, np.ndarray
     begin = np.concatenate([[0], np.cumsum(sizes)])
     data = np.full(int(begin[-1]), _BLANK, np.uint8)
     data[np.arange(len(raw)) + np.repeat(begin[1:] - off[1:], np.diff(off))] = raw
-    ids_a, ends_a, bad_a, tiles_a = tokens(a, data, begin, tiles)
-    ids_b, ends_b, bad_b, tiles_b = tokens(b, data, begin, blank_tiles)
+    space, blank = unicode_space(data), data == _BLANK
+    ids_a, ends_a, bad_a = tokens(a, data, begin, space)
+    ids_b, ends_b, bad_b = tokens(b, data, begin, blank)
     bad = bad_a | bad_b
     if bad.any():  # their tokens do not cover their bytes: leave them out and begin again
         keep = pa.array(~bad)
         return align_batch(pc.if_else(keep, texts, pa.scalar(None, texts.type)), a, b)
-    ends = begin[1:][sizes > 0]
-    shared = np.intersect1d(tiles_a, tiles_b, assume_unique=True)
-    lane = shared // LANE_BYTES
-    shared = shared[:-1][lane[1:] > lane[:-1]] if len(shared) else shared
-    link_a, link_b, cut = lockstep(ends_a, ends_b, np.union1d(shared, ends)) if len(ends) else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+    # a white space run that starts with a blank starts a tile of both: lanes end there, or with the text
+    lane = np.zeros(len(data) + 1, bool)
+    lane[1:-1] = blank[1:] & ~space[:-1]
+    shared = np.flatnonzero(lane)
+    far = np.diff(shared // LANE_BYTES, prepend=0) > 0
+    lane[shared[~far]] = False
+    lane[begin[1:][sizes > 0]] = True
+    link_a, link_b, cut = lockstep(ends_a, ends_b, np.flatnonzero(lane))
     first_a = np.searchsorted(ends_a, begin, side="right")
     first_b = np.searchsorted(ends_b, begin, side="right")
     # an empty text starts at the token of the next one, which comes later and owns it
