@@ -18,11 +18,15 @@ def session(app: str):
 
 
 def raw_tables(spark, args):
+    """The raw tables and the identity of the files they come from."""
+    from orderlens.plans.dashboard import fixture_key
     from orderlens.sources import csv_tables, fixture_tables
+    from orderlens.sources.csv_tables import table_paths
+    from orderlens.sources.mart_store import source_key
 
     if args.csv_dir:
-        return csv_tables(spark, args.csv_dir), f"csv:{args.csv_dir}"
-    return fixture_tables(spark, args.fixture_dir), f"fixture:{args.fixture_dir}"
+        return csv_tables(spark, args.csv_dir), source_key(spark, *table_paths(args.csv_dir).values())
+    return fixture_tables(spark, args.fixture_dir), fixture_key(spark, args.fixture_dir)
 
 
 def add_source_args(p):

@@ -1,4 +1,4 @@
-"""Build the order mart from raw tables, check it, and write it as Parquet.
+"""Build the order mart from raw tables, check it, and publish it in a store (data folders and a manifest).
 
 spark-submit jobs/build_mart.py --csv-dir s3://.../raw --out s3://.../mart [--partition-by-month]
 """
@@ -18,15 +18,10 @@ def main() -> None:
                    help="partition the output by purchase_period (large data only)")
     args = p.parse_args()
     spark = session("orderlens-build-mart")
-    from orderlens.operators.mart import build_order_mart
-    from orderlens.operators.quality import check_mart
-
-    raw, _ = raw_tables(spark, args)
-    writer = build_order_mart(raw).write.mode("overwrite")
-    if args.partition_by_month:
-        writer = writer.partitionBy("purchase_period")
-    writer.parquet(args.out)
-    check_mart(spark.read.parquet(args.out))
+    from orderlens.plans.dashboard import publish_mart
+
+    raw, key = raw_tables(spark, args)
+    publish_mart(raw, args.out, key, args.partition_by_month)
 
 
 if __name__ == "__main__":

@@ -18,9 +18,9 @@ def main() -> None:
     p.add_argument("--category", default=None)
     args = p.parse_args()
     spark = session("orderlens-dashboard")
-    from orderlens.plans.dashboard import DashboardView
+    from orderlens.plans.dashboard import DashboardView, open_mart
 
-    DashboardView(spark.read.parquet(args.mart), args.state, args.category).write(args.out)
+    DashboardView(open_mart(spark, args.mart), args.state, args.category).write(args.out)
 
 
 if __name__ == "__main__":

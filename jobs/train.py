@@ -20,10 +20,10 @@ def main() -> None:
     args = p.parse_args()
     spark = session("orderlens-train")
     from orderlens.ml.model import ForestParams
+    from orderlens.plans.dashboard import open_mart
     from orderlens.plans.training import train_late_model
 
-    mart = spark.read.parquet(args.mart)
-    train_late_model(spark, mart, f"mart:{args.mart}", ForestParams(num_trees=args.trees, max_depth=args.depth),
+    train_late_model(spark, open_mart(spark, args.mart), ForestParams(num_trees=args.trees, max_depth=args.depth),
                      model_path=args.model_out, metrics_path=args.metrics_out)
 
 

@@ -7,7 +7,6 @@ settings that are not already set, so a cluster's own values always win.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -57,9 +56,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for materialised tables and checkpoints.
 
     Uses ``spark.checkpoint.dir`` (or a directory already set on the context).
-    Only a local-mode session may fall back to a fresh temporary folder; a
-    cluster job without the setting fails, because a machine-local folder is
-    not visible to other executors.
+    Only a local-mode session may do without: it takes a folder of the
+    warehouse. A cluster job without the setting fails.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -68,7 +66,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running orderlens jobs")
-        root = tempfile.mkdtemp(prefix="orderlens-ckpt-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_orderlens"
     if not current:
         sc.setCheckpointDir(root)
     return root.rstrip("/")

@@ -50,7 +50,7 @@ def product_dim_translated(raw: RawTables) -> DataFrame:
     translation = keep_first(raw.translation, "product_category_name").select(
         "product_category_name", "product_category_name_english"
     )
-    joined = left_join_dim(products, translation, "product_category_name")
+    joined = left_join_dim(products, translation, "product_category_name", "translation")
     return joined.select(
         "product_id",
         F.coalesce("product_category_name_english", "product_category_name").alias("product_category"),
@@ -64,8 +64,8 @@ def sellers_dim(raw: RawTables) -> DataFrame:
 def items_enriched(raw: RawTables) -> DataFrame:
     """Distinct item rows with product category and seller state attached."""
     items = distinct_rows(raw.items)
-    items = left_join_dim(items, product_dim_translated(raw), "product_id")
-    return left_join_dim(items, sellers_dim(raw), "seller_id")
+    items = left_join_dim(items, product_dim_translated(raw), "product_id", "products")
+    return left_join_dim(items, sellers_dim(raw), "seller_id", "sellers")
 
 
 def item_summary(raw: RawTables) -> DataFrame:
@@ -106,8 +106,9 @@ def build_order_mart(raw: RawTables) -> DataFrame:
     """The analytical table: one row per delivered order that has items.
 
     ``order_id`` is unique by construction (orders are unique after keep-first
-    and every join is many-to-one or one-to-one); ``quality.check_mart``
-    verifies it on the materialised table.
+    and every join is many-to-one, checked while it runs, or one-to-one with a
+    summary that is grouped by the order); ``quality.check_mart`` verifies it on
+    the written table before it is published.
     """
     orders = delivered_orders(raw)
     order_cols = [c for c in orders.columns if c != INGEST_COL]
@@ -116,7 +117,7 @@ def build_order_mart(raw: RawTables) -> DataFrame:
         .join(payment_summary(raw), "order_id", "left")
         .join(review_summary(raw), "order_id", "left")
     )
-    data = left_join_dim(data, customers_dim(raw), "customer_id")
+    data = left_join_dim(data, customers_dim(raw), "customer_id", "customers")
 
     purchase = F.col("order_purchase_timestamp")
     data = data.select(

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from orderlens.config import checkpoint_root
 from orderlens.operators import findings, metrics
+from orderlens.operators.joins import cardinality_errors
 from orderlens.operators.mart import build_order_mart
 from orderlens.operators.quality import check_mart
 from orderlens.sources.fixture import fixture_tables
-from orderlens.sources.mart_store import materialized
+from orderlens.sources.mart_store import UnpublishedTableError, materialized, open_published, publish, source_key
 from orderlens.sources.tables import RawTables
 
 
@@ -21,13 +22,38 @@ def fixture_raw(spark: SparkSession, sf_dir: str) -> RawTables:
     return fixture_tables(spark, sf_dir)
 
 
-def mart_from(spark: SparkSession, raw: Callable[[], RawTables], source_key: str) -> DataFrame:
-    """Build, write, check and re-read the order mart; ``raw`` is called only for the first build."""
-    return materialized(spark, "mart", source_key, lambda: build_order_mart(raw()), check=check_mart)
+FIXTURE_TABLES = ["nation", "customer", "orders", "lineitem", "events", "part", "supplier"]
+
+
+def fixture_key(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the test tables that the raw tables are made of."""
+    return source_key(spark, *[f"{sf_dir.rstrip('/')}/{name}.parquet" for name in FIXTURE_TABLES])
+
+
+def mart_from(spark: SparkSession, raw: Callable[[], RawTables], key: str) -> DataFrame:
+    """The order mart for the state ``key`` of its sources; ``raw`` is called only if it must be built."""
+    with cardinality_errors():
+        return materialized(spark, "mart", key, lambda: build_order_mart(raw()), check=check_mart)
+
+
+def publish_mart(raw: RawTables, out: str, key: str, partition_by_month: bool = False) -> DataFrame:
+    """Build the mart into the store ``out``; readers see it only after it has passed its checks."""
+    with cardinality_errors():
+        return publish(build_order_mart(raw), out, key, check_mart, ["purchase_period"] if partition_by_month else [])
+
+
+def open_mart(spark: SparkSession, path: str) -> DataFrame:
+    """The published mart of a store; a plain Parquet folder is checked before it is used."""
+    try:
+        return open_published(spark, path)
+    except UnpublishedTableError:
+        mart = spark.read.parquet(path)
+        check_mart(mart)
+        return mart
 
 
 def fixture_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mart_from(spark, lambda: fixture_raw(spark, sf_dir), f"fixture:{sf_dir}")
+    return mart_from(spark, lambda: fixture_raw(spark, sf_dir), fixture_key(spark, sf_dir))
 
 
 KPI_COLUMNS = [

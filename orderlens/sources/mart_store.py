@@ -1,8 +1,10 @@
-"""Materialise the order mart once per application and reuse it.
+"""Tables that are built once per state of their sources, checked, and only then published.
 
-The mart is written as Parquet under the shared checkpoint folder and read
-back, which also cuts the lineage of the ETL plan: a lost executor later costs
-a re-read of Parquet, not a rebuild of the joins.
+A store is a folder: ``data/<id>`` holds a written table, ``manifest`` holds a row per
+published table. A build writes a new ``data`` folder, checks what it reads back from it, and
+adds the manifest row last, so readers see the old table until the new one has
+passed, and for good if it fails. One writer at a time is assumed. Reading Parquet back also
+cuts the lineage of the build: a lost executor later costs a re-read, not the joins.
 """
 
 from __future__ import annotations
@@ -10,48 +12,107 @@ from __future__ import annotations
 import hashlib
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderlens.config import checkpoint_root
 
 _LOCK = threading.Lock()
-_WRITTEN: dict[tuple[str, str], str] = {}
+_MANIFEST = "version long, data string, source_key string, rows long, published timestamp"
+
+
+class UnpublishedTableError(FileNotFoundError):
+    """A store that holds no published table."""
 
 
 def _app_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
 
 
-def table_path(spark: SparkSession, kind: str, source_key: str) -> str:
-    app = _app_id(spark)
-    digest = hashlib.sha1(f"{app}|{kind}|{source_key}".encode()).hexdigest()[:16]
+def source_key(spark: SparkSession, *paths: str) -> str:
+    """Identity of input files: a digest over path, size and modification time of each.
+
+    The listing runs in Spark without reading the files; one row comes back.
+    """
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "modificationTime")
+    row = files.select(F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")), 256).alias("h")).agg(
+        F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")).first()
+    return f"{row['n']}:{row['h']}"
+
+
+def frame_key(df: DataFrame) -> str:
+    """Identity of a DataFrame: its plan, and the files it reads."""
+    files = df.inputFiles()
+    plan = df._jdf.queryExecution().analyzed().canonicalized().toString() if not files else ""
+    return f"{df.semanticHash()}:{hashlib.sha256(plan.encode()).hexdigest()[:16]}:" + (
+        source_key(df.sparkSession, *files) if files else "")
+
+
+def store_path(spark: SparkSession, kind: str, key: str) -> str:
+    """Folder of a store of this application inside the shared folder."""
+    digest = hashlib.sha1(f"{_app_id(spark)}|{kind}|{key}".encode()).hexdigest()[:16]
     return f"{checkpoint_root(spark)}/orderlens/{kind}/{digest}"
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Write ``df`` under a fresh path of the shared folder and read it back."""
-    path = table_path(df.sparkSession, kind, uuid.uuid4().hex)
+    path = store_path(df.sparkSession, kind, uuid.uuid4().hex)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def manifest(spark: SparkSession, store: str) -> DataFrame | None:
+    """The published versions of a store, None if there are none."""
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{store}/manifest")
+    except AnalysisException:
+        return None
+
+
+def _latest(spark: SparkSession, store: str):
+    rows = manifest(spark, store)
+    return None if rows is None else rows.orderBy(F.desc("version")).limit(1).collect()
+
+
+def publish(df: DataFrame, store: str, key: str, check: Callable[[DataFrame], None] | None = None,
+            partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` into a new data folder of ``store``, check it there, then make it the published version."""
+    spark = df.sparkSession
+    last = _latest(spark, store)
+    version = last[0]["version"] + 1 if last else 1
+    data = f"data/{version:06d}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(f"{store}/{data}")
+    table = spark.read.parquet(f"{store}/{data}")
+    if check is not None:
+        check(table)
+    row = spark.createDataFrame([(version, data, key)], "version long, data string, source_key string")
+    row = row.withColumns({"rows": F.lit(table.count()).cast("long"), "published": F.current_timestamp()})
+    row.coalesce(1).write.mode("append").json(f"{store}/manifest")
+    return table
+
+
+def open_published(spark: SparkSession, store: str, key: str | None = None) -> DataFrame:
+    """The published table of ``store``; with ``key``, only if it was built from that state of its sources."""
+    last = _latest(spark, store)
+    if not last or (key is not None and last[0]["source_key"] != key):
+        raise UnpublishedTableError(f"{store}: no published table")
+    return spark.read.parquet(f"{store}/{last[0]['data']}")
+
+
 def materialized(
     spark: SparkSession,
     kind: str,
-    source_key: str,
+    key: str,
     build: Callable[[], DataFrame],
     check: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Return the table ``kind`` for ``source_key``; build, write and check it on first use."""
-    key = (_app_id(spark), f"{kind}|{source_key}")
+    """The table ``kind`` for the state ``key`` of its sources; built, checked and published on first use."""
+    store = store_path(spark, kind, key)
     with _LOCK:
-        path = _WRITTEN.get(key)
-        if path is None:
-            path = table_path(spark, kind, source_key)
-            build().write.mode("overwrite").parquet(path)
-            if check is not None:
-                check(spark.read.parquet(path))
-            _WRITTEN[key] = path
-    return spark.read.parquet(path)
+        try:
+            return open_published(spark, store, key)
+        except UnpublishedTableError:
+            return publish(build(), store, key, check)
