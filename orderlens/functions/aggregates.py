@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,111 +21,124 @@ def mode_or_unknown(x: str | Column) -> Column:
     return F.coalesce(F.mode(c.cast(T.StringType()), deterministic=True), F.lit("Unknown"))
 
 
-# Rank error of percentile_approx is at most n / accuracy; the bracket around the
-# nominal fraction is widened by a few such steps so it always covers the rank.
-_ACCURACY = 100_000
-_BRACKET_STEPS = 4
+# Ranges a pass cuts the open range of a wanted rank into, and bits of the ordered value.
+RANGES = 1 << 14
+_BITS = 64
+
+
+def ordered_bits(x: Column, kind: T.DataType) -> Column:
+    """A long in the order of the values of ``x`` (integers as they are, doubles by their bits; -0 is 0)."""
+    if isinstance(kind, T.IntegralType):
+        return x.cast(T.LongType())
+    x = x.cast(T.DoubleType())
+    size = F.abs(x)
+    guess = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
+    scaled = size / F.pow(F.lit(2.0), guess)  # a power of two: exact
+    exponent = guess + F.when(scaled >= 2, 1).when(scaled < 1, -1).otherwise(0)
+    mantissa = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled)
+    normal = (exponent + 1023) * F.lit(1 << 52) + ((mantissa - 1) * float(1 << 52)).cast(T.LongType())
+    bits = (
+        F.when(size < F.lit(2.0**-1022), (size * 2.0**537 * 2.0**537).cast(T.LongType()))
+        .when(size == F.lit(float("inf")), F.lit(2047 << 52))
+        .when(F.isnan(x), F.lit((2047 << 52) + 1)).otherwise(normal.cast(T.LongType())))
+    return F.when(x < 0, -1 - bits).otherwise(bits)
+
+
+def _value_of(bits: int, kind: T.DataType) -> int | float:
+    """The value that ``ordered_bits`` maps to ``bits``."""
+    if isinstance(kind, T.IntegralType):
+        return bits
+    size = struct.unpack(">d", struct.pack(">q", bits if bits >= 0 else -1 - bits))[0]
+    return size if bits >= 0 else -size
+
+
+@dataclass
+class _Search:
+    """The range of ordered values, ends included, that holds a wanted rank, and the rank inside it."""
+
+    low: int
+    high: int
+    rank: int
+
+    @property
+    def shift(self) -> int:
+        """Bits to drop so that the range has at most ``RANGES`` parts."""
+        for bits in range(_BITS):
+            if (self.high >> bits) - (self.low >> bits) < RANGES:
+                return bits
+        return _BITS - 1
+
+
+def range_counts(values: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows of ``values`` (``_g``, ``_v``) per part of each open range: at most ``RANGES`` rows a range.
+
+    ``ranges`` (``_range``, ``_range_g``, ``low``, ``high``, ``shift``) has a row per group and
+    wanted rank, so it is broadcast; counts are added up before the shuffle.
+    """
+    here = F.col("_g").eqNullSafe(F.col("_range_g")) & F.col("_v").between(F.col("low"), F.col("high"))
+    part = F.expr("shiftright(_v, shift)").alias("part")
+    return values.join(F.broadcast(ranges), here).groupBy("_range", part).agg(F.count("*").alias("rows"))
 
 
 def values_at_ranks(
     df: DataFrame,
     value: str,
-    ranks: dict[str, Callable[[Column], Column]],
-    near_fraction: float,
+    ranks: dict[str, Callable[[int], int]],
     groups: Sequence[str] = (),
-    accuracy: int = _ACCURACY,
 ) -> DataFrame:
-    """Exact order statistics per group without sorting or collecting a group.
-
-    ``ranks`` maps an output name to a function of the group's non-null count
-    ``n`` giving a 0-based ascending rank; every rank must lie near
-    ``near_fraction * n``. Works in three scans of the column:
+    """Exact order statistics per group by radix selection: no sort, no sketch, no group in one task.
 
-    1. per group: ``n``, min, max and a quantile sketch bracket ``[a, b]``;
-    2. per group: rows below ``a`` and up to ``b`` -- proves the bracket holds
-       every wanted rank; a group whose bracket misses (tiny groups) falls back
-       to ``[min, max]``, so the answer is always exact;
-    3. the distinct values inside the bracket with their counts (about
-       ``8 n / accuracy`` rows) get a running count, which locates each rank.
+    ``ranks`` maps an output name to a function of the group's non-null count ``n``
+    giving a 0-based ascending rank. One scan counts each group and finds its smallest
+    and largest value. Each further scan counts the rows in up to 2^14 equal parts (of the
+    ordered bits) of every range that holds a wanted rank, and keeps the part that
+    holds it, until that is one value: at most five scans for any 64-bit values, two or three as a
+    rule. What is shuffled and read by the driver is a count per part, never values.
 
-    The per-group tables hold one row per group, so callers pass only a small,
-    bounded set of groups (a class label, or none).
+    One row per group: the group columns, ``n``, and a column per rank (null if the rank
+    is outside 0 .. n - 1). Callers pass only a small, bounded set of groups.
     """
-    keys = list(groups)
-    step = _BRACKET_STEPS / accuracy
-    lo_p = max(0.0, near_fraction - step)
-    hi_p = min(1.0, near_fraction + step)
-    v = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    if not keys:
-        v = v.withColumn("_grp", F.lit(0))
-        keys = ["_grp"]
-
-    stats = v.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_vmin"),
-        F.max("_v").alias("_vmax"),
-        F.percentile_approx("_v", [lo_p, hi_p], accuracy).alias("_br"),
-    )
-    rank_cols = {name: fn(F.col("_n")).cast(T.LongType()) for name, fn in ranks.items()}
-    stats = stats.select(
-        *keys, "_n", "_vmin", "_vmax",
-        F.col("_br")[0].alias("_a"), F.col("_br")[1].alias("_b"),
-        *[c.alias(f"_r_{name}") for name, c in rank_cols.items()],
-    )
-    r_min = F.least(*[F.col(f"_r_{n}") for n in ranks]) if len(ranks) > 1 else F.col(f"_r_{next(iter(ranks))}")
-    r_max = F.greatest(*[F.col(f"_r_{n}") for n in ranks]) if len(ranks) > 1 else F.col(f"_r_{next(iter(ranks))}")
-
-    # One row per group: safe to broadcast.
-    checks = (
-        v.join(F.broadcast(stats), keys)
-        .groupBy(*keys)
-        .agg(
-            F.count_if(F.col("_v") < F.col("_a")).alias("_below_a"),
-            F.count_if(F.col("_v") <= F.col("_b")).alias("_upto_b"),
-        )
-    )
-    bounds = stats.join(checks, keys).select(
-        *keys, "_n", *[f"_r_{n}" for n in ranks],
-        F.when((F.col("_below_a") <= r_min) & (F.col("_upto_b") > r_max), F.col("_a"))
-        .otherwise(F.col("_vmin")).alias("_lo"),
-        F.when((F.col("_below_a") <= r_min) & (F.col("_upto_b") > r_max), F.col("_b"))
-        .otherwise(F.col("_vmax")).alias("_hi"),
-        F.when((F.col("_below_a") <= r_min) & (F.col("_upto_b") > r_max), F.col("_below_a"))
-        .otherwise(F.lit(0)).cast(T.LongType()).alias("_offset"),
-    )
-
-    cand = (
-        v.join(F.broadcast(bounds.select(*keys, "_lo", "_hi")), keys)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*keys, "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = cand.withColumn("_cum", F.sum("_c").over(w)).join(F.broadcast(bounds), keys)
-    picked = cum.groupBy(*keys).agg(
-        F.first("_n").alias("n"),
-        *[
-            F.min(F.when(F.col("_cum") + F.col("_offset") > F.col(f"_r_{name}"), F.col("_v"))).alias(name)
-            for name in ranks
-        ],
-    )
-    if groups:
-        return picked
-    return picked.drop("_grp")
+    spark, kind = df.sparkSession, df.schema[value].dataType
+    keys = F.struct(*[F.col(g) for g in groups]) if groups else F.lit(0)
+    values = df.select(F.to_json(keys).alias("_g") if groups else keys.cast("string").alias("_g"), *groups,
+                       ordered_bits(F.col(value), kind).alias("_v")).where(F.col(value).isNotNull())
+    found = values.groupBy("_g", *groups).agg(
+        F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")).collect()
+    open_: dict[tuple[str, str], _Search] = {}
+    for r in found:
+        for name, rank in ranks.items():
+            if 0 <= rank(r["n"]) < r["n"]:
+                open_[r["_g"], name] = _Search(r["low"], r["high"], rank(r["n"]))
+    searches = dict(open_)
+    while open_ := {k: s for k, s in open_.items() if s.low < s.high}:
+        spans = sorted({(g, s.low, s.high, s.shift) for (g, _), s in open_.items()})
+        ranges = spark.createDataFrame([(i, *x) for i, x in enumerate(spans)],
+                                       "_range int, _range_g string, low long, high long, shift int")
+        counts: dict[int, list] = {}
+        for r in range_counts(values, ranges).orderBy("_range", "part").collect():
+            counts.setdefault(r["_range"], []).append((r["part"], r["rows"]))
+        for (g, _), s in open_.items():
+            span = (g, s.low, s.high, s.shift)
+            for part, rows in counts[spans.index(span)]:
+                if s.rank < rows:
+                    s.low, s.high = max(span[1], part << span[3]), min(span[2], ((part + 1) << span[3]) - 1)
+                    break
+                s.rank -= rows
+    rows = []
+    for r in found:
+        at = [searches.get((r["_g"], name)) for name in ranks]
+        rows.append((*[r[g] for g in groups], r["n"], *[None if s is None else _value_of(s.low, kind) for s in at]))
+    schema = T.StructType([*[df.schema[g] for g in groups], T.StructField("n", T.LongType()),
+                           *[T.StructField(name, kind) for name in ranks]])
+    return spark.createDataFrame(rows, schema)
+
+
+MEDIAN_RANKS = {"_m_lo": lambda n: (n - 1) // 2, "_m_hi": lambda n: n // 2}
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
     """One row ``(n, median)``: interpolated median of a numeric column, nulls skipped."""
-    dbl = df.select(F.col(value).cast(T.DoubleType()).alias(value))
-    picked = values_at_ranks(
-        dbl,
-        value,
-        {
-            "_m_lo": lambda n: F.floor((n - 1) / 2),
-            "_m_hi": lambda n: F.ceil((n - 1) / 2),
-        },
-        near_fraction=0.5,
-    )
+    picked = values_at_ranks(df.select(F.col(value).cast(T.DoubleType()).alias(value)), value, MEDIAN_RANKS)
     return picked.select("n", ((F.col("_m_lo") + F.col("_m_hi")) / 2).alias("median"))
 
 
@@ -138,13 +153,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.struct(F.lit(c).alias("column"), F.col(c).cast(T.DoubleType()).alias("value")) for c in columns
         ])).alias("p")
     ).select("p.column", "p.value")
-    picked = values_at_ranks(
-        pairs,
-        "value",
-        {"_m_lo": lambda n: F.floor((n - 1) / 2), "_m_hi": lambda n: F.ceil((n - 1) / 2)},
-        near_fraction=0.5,
-        groups=["column"],
-    )
+    picked = values_at_ranks(pairs, "value", MEDIAN_RANKS, groups=["column"])
     return picked.select("column", "n", ((F.col("_m_lo") + F.col("_m_hi")) / 2).alias("median"))
 
 
