@@ -29,16 +29,16 @@ SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM m WHER
 
 
 OP12 = """
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-b AS (SELECT r, doc_id, unnest(range(1, length(x) // 2 + 1)) AS p, x FROM d),
-c AS (SELECT r, doc_id, p, substr(x, 2 * p - 1, 2) AS c, substr(x, 2 * p - 1, 100) AS s FROM b),
-m AS (SELECT s, min(doc_id) AS low FROM c WHERE length(s) = 100 GROUP BY s),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+b AS (SELECT r, doc_id, unnest(range(1, octet_length(x) + 1)) AS p, x FROM d),
+c AS (SELECT r, doc_id, p, hex(x[p:p]) AS c, x[p:p + 49] AS s FROM b),
+m AS (SELECT s, min(doc_id) AS low FROM c WHERE octet_length(s) = 50 GROUP BY s),
 k AS (SELECT r, p, c, max(coalesce(low < doc_id, false)) OVER (PARTITION BY r ORDER BY p ROWS 49 PRECEDING) AS gone
       FROM c LEFT JOIN m USING (s)),
 g AS (SELECT r, p, c, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS lead FROM k),
 t AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (lead) AS n_spans,
              string_agg(c, '' ORDER BY p) FILTER (NOT gone) AS kept FROM g GROUP BY r)
-SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+SELECT doc_id, octet_length(x) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN t USING (r)
 """
