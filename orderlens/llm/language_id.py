@@ -1,9 +1,10 @@
 """Language identification: script ranges, word scores, Viterbi with a switching penalty.
 
-Training counts, over a bounded hash sample of labelled rows, the letter 1- to
+Training counts, over the labelled rows of smallest hash of each language, the letter 1- to
 3-grams of words per language and which scripts (ranges of code points) each
-language writes. A word's score for a language is its smoothed log probability,
-minus infinity-like for languages that do not write the word's scripts. Viterbi
+language writes. Scripts narrow each word's candidates: languages that do not write
+its scripts are not scored but stand at a fixed value under any score. For the others
+a word's score is its smoothed log probability. Viterbi
 over the words, with a fixed penalty for each change, labels spans of
 mixed-language text; a document's language is the one whose spans have the most
 letters, its score their share weighed by how far the scores stand apart.
@@ -14,8 +15,8 @@ label without the recursion; the outcome is the same.
 
 Defined cases: a word is a run outside ASCII white space; words without letters
 take no part; a null text or one without a letter is ``und`` with score 0; null
-labels are not learnt; without any label every text is ``und``; repeated rows
-count as often as they occur; ties go to the first language in sorted order;
+labels are not learnt; without any label every text is ``und``; of repeated
+rows one is learnt from; ties go to the first language in sorted order;
 extra columns are ignored.
 """
 
@@ -29,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.llm.common import held_out, row_ranges, text_bytes
+from orderlens.functions.aggregates import values_at_ranks
+from orderlens.llm.common import held_out, materialize, row_ranges, text_bytes
 from orderlens.llm.words import mix, word_spans
 
 SAMPLE_PER_LANGUAGE = 2000
 SWITCH_PENALTY = 12.0
 GRAM_SLOTS = 1 << 16
-_FAR = -30.0  # score step for a script a language does not write
+_FAR = -30.0  # score of a word for a language that does not write its script; no gram is as unlikely
 _SLICE_BYTES = 1 << 23
 
 # First code points of the script ranges told apart
@@ -122,12 +124,18 @@ class LanguageModel:
         letters = np.bincount(owner, minlength=n)
         word, slot = letter_grams(points, owner, n)
         count = np.maximum(np.bincount(word, minlength=n), 1)
-        scores = np.zeros((n, k))
+        scores = np.empty((n, k))
         for j in range(k):
+            # only words in scripts that the language writes are scored for it
+            writes = (found & ~self.scripts[j]) == 0
+            if writes.all():
+                use_word, use_slot = word, slot
+            else:
+                use = writes[word]
+                use_word, use_slot = word[use], slot[use]
             # the mean gram score times a slowly growing length keeps very long words from deciding alone
-            total = np.bincount(word, self.gram[j][slot], n)
-            scores[:, j] = total / count * np.sqrt(count)
-            scores[:, j] += _FAR * ((found & ~self.scripts[j]) != 0)
+            total = np.bincount(use_word, self.gram[j][use_slot], n)
+            scores[:, j] = np.where(writes, total / count, _FAR) * np.sqrt(count)
         scores[letters == 0] = 0.0
         return scores, letters
 
@@ -198,15 +206,20 @@ def viterbi(steps: np.ndarray, penalty: float) -> np.ndarray:
 
 def fit_languages(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str,
                   per_language: int) -> LanguageModel:
-    """Counts from a hash sample of about ``per_language`` labelled rows a language (whole texts)."""
-    marked = docs.filter(learn & F.col(lang_col).isNotNull())
-    size = {r[0]: r[1] for r in marked.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    languages = sorted(size)
-    limit = F.lit(0)
-    for name, n in size.items():
-        limit = F.when(F.col(lang_col).cast("string") == name, int(min(1.0, per_language / n) * 1_000_000)).otherwise(limit)
-    sample = marked.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limit).select(
-        F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
+    """Counts from the ``per_language`` labelled rows of smallest hash of each language (whole texts).
+
+    The hash is over id and text; rows equal in both count once.
+    """
+    rows = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"),
+                       learn.alias("_learn"), F.xxhash64(id_col, text_col).alias("_hash"))
+    marked = rows.filter(F.col("_learn") & F.col("_lang").isNotNull())
+    hashes = materialize(marked.select("_lang", "_hash").distinct(), "language-hashes")
+    # the hash of the last row taken of each language: a row per language
+    last = values_at_ranks(hashes, "_hash", {"_last": lambda n: min(per_language, n) - 1}, ["_lang"])
+    languages = sorted(r["_lang"] for r in last.select("_lang").collect())
+    limits = F.broadcast(last.select(F.col("_lang").alias("_of"), "_last"))
+    sample = marked.join(limits, (F.col("_lang") == F.col("_of")) & (F.col("_hash") <= F.col("_last")))
+    sample = sample.groupBy("_lang", "_hash").agg(F.any_value("_text").alias("_text")).select("_lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = {name: np.zeros(GRAM_SLOTS, np.int64) for name in languages}

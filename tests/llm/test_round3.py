@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orderlens.llm import merkle, repeat_spans, run_index, token_align
+from orderlens.llm import language_id, merkle, repeat_spans, run_index, token_align
 
 # extra columns whose names operators use themselves
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, batch long, _g int, leaf string"
@@ -244,3 +244,50 @@ def test_token_alignment_matches_brute_force(spark):
 def test_crc_rule_of_the_manifest_query(spark):
     got = spark.range(200).select("id", (F.crc32(F.col("id").cast("string")) % 3 == 0).alias("t")).collect()
     assert all(r.t == (zlib.crc32(str(r.id).encode()) % 3 == 0) for r in got)
+
+
+def test_language_sample_takes_the_smallest_hashes(spark):
+    """One row of thousands is still learnt from, also where all ids are null."""
+    rows = [(None, "der die das und nicht", "de") for _ in range(3000)] + [(k, "the and of with this", "en") for k in range(2000)]
+    rows += [(None, "это не тот самый день", "ru")]
+    docs = docs_of(spark, rows).repartition(3)
+    model = language_id.fit_languages(docs, F.lit(True), "doc_id", "text", "lang", 1)
+    assert model.languages == ["de", "en", "ru"]
+    got = language_id.identify(docs, F.lit(True), per_language=2).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"de": 3000, "en": 2000, "ru": 1}
+
+
+def test_scripts_narrow_the_candidates():
+    slots = language_id.GRAM_SLOTS
+    model = language_id.LanguageModel(["latin", "cyrillic"], np.full((2, slots), -9.0), np.array([1, 1 << 2]))
+    scores, letters = model.word_scores(["abc", "это", "abcэ", "12"])
+    assert scores[0, 0] > scores[0, 1] and scores[1, 1] > scores[1, 0] and scores[2, 0] == scores[2, 1] and not scores[3].any()
+    far = language_id._FAR
+    assert scores[0, 1] / scores[0, 0] == pytest.approx(far / -9.0)
+
+
+def test_the_shortcut_equals_the_whole_recursion():
+    rng = np.random.default_rng(4)
+    slots = language_id.GRAM_SLOTS
+    model = language_id.LanguageModel(["a", "b", "c"], np.zeros((3, slots)), np.array([1, 1, 1]))
+    for _ in range(60):
+        n_rows, n_words = 12, int(rng.integers(1, 40))
+        words = rng.normal(size=(n_words, 3)) * rng.choice([0.2, 1.0, 4.0])
+        letters = rng.integers(0, 3, n_words)
+        words[letters == 0] = 0.0
+        sizes = rng.integers(0, 30, n_rows)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        codes = rng.integers(0, n_words, int(first[-1]))
+        penalty = float(rng.choice([0.5, 2.0, 6.0]))
+        lang, _, paths = model.label(words, letters, codes, first, penalty)
+        for r in range(n_rows):
+            mine = codes[first[r]: first[r + 1]]
+            if not letters[mine].sum():
+                assert lang[r] == -1
+                continue
+            path = language_id.viterbi(words[mine], penalty)
+            value = lambda p: words[mine, p].sum() - penalty * (np.diff(p) != 0).sum()
+            mine_path = np.full(len(mine), lang[r]) if paths[r] is None else paths[r]
+            assert value(mine_path) == pytest.approx(value(path))
+            if paths[r] is not None:
+                assert lang[r] == np.bincount(path, letters[mine], 3).argmax()
