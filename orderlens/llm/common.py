@@ -28,6 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells all rows apart, and its name.
+
+    The key is the row's place in the scan. It is the same in every job over the same
+    stored table of a session, also when an executor is lost; results of shuffles
+    must be written first.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

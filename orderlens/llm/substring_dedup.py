@@ -16,7 +16,8 @@ Between batches and hash buckets go packed arrays, one row per (batch, bucket):
 4 bytes a distinct block-long run, 12 bytes a candidate run, one bit back. A
 batch sends a run at most once, with a mark if it has it twice, so a passage in
 every document costs one entry per batch. Pass 1 may meet false hits of its
-short hashes (they only add candidates); pass 2 takes 96 bits and the bucket.
+short hashes (they only add candidates); pass 2 takes 96 bits and the bucket, made
+of two independent hashes of each word.
 
 Defined cases: words are runs outside 0x20, 0x09-0x0D, compared by their bytes;
 null and wordless texts have no words and the hash of the empty text; repeated
@@ -27,6 +28,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,17 @@ from orderlens.llm.words import window_hashes, window_starts, word_hashes, word_
 
 WINDOW = 35
 BATCH_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
 
 
-def _load(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_SECOND = 0x6A09E667F3BCC909  # salt of the second hash of a word
+
+
+def _load(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, Callable[[int], np.ndarray], np.ndarray]:
+    """Bytes, row offsets, hashes of all words by salt, first word of each row."""
     data, off = text_bytes(batch.column("_text"))
     starts, ends, first = word_spans(data, off)
-    return data, off, word_hashes(data, starts, ends), first
+    return data, off, lambda salt: word_hashes(data, starts, ends, salt), first
 
 
 def _bucketed(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -57,9 +64,12 @@ def _block_runs(words: np.ndarray, first: np.ndarray, block: int, buckets: int):
     return at, *np.unique(keys, return_inverse=True, return_counts=True)
 
 
-def _long_runs(words: np.ndarray, first: np.ndarray, window: int, block: int, buckets: int,
+def _long_runs(words: np.ndarray, second: np.ndarray, first: np.ndarray, window: int, block: int, buckets: int,
                hits: np.ndarray, at: np.ndarray):
-    """Positions of the long runs that hold a hit, their distinct (key, more) pairs, inverse, counts."""
+    """Positions of the long runs that hold a hit, their distinct (key, more) pairs, inverse, counts.
+
+    ``words`` and ``second`` are two independent hashes of each word; a run's key comes from both.
+    """
     n = len(words)
     seen = np.zeros(n + 1, np.int64)
     seen[at[hits] + 1] = 1
@@ -69,7 +79,7 @@ def _long_runs(words: np.ndarray, first: np.ndarray, window: int, block: int, bu
     ok &= seen[start + window - block + 1] > seen[start]
     pos = np.flatnonzero(ok)
     a = window_hashes(words, window)[pos]
-    b = window_hashes(words, window, salt=0x6A09E667F3BCC909)[pos]
+    b = window_hashes(second, window)[pos]
     pairs = np.empty(len(pos), [("bucket", "<u4"), ("a", "<u8"), ("b", "<u4")])
     pairs["bucket"] = a % np.uint64(buckets)
     pairs["a"] = a
@@ -134,12 +144,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = source.schema["_id"].dataType.simpleString()
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
-    dealt = source.withColumn("batch", F.pmod(F.xxhash64("_id", F.octet_length("_text")), F.lit(batches)))
+    # buckets grow with the data, so that none holds more than about BUCKET_BYTES of texts' hashes
+    buckets = max(4 * shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
+    # by the row's place, so equal rows spread
+    dealt = source.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)))
 
     def probe(batch: pa.Table) -> pa.Table:
-        _, _, words, first = _load(batch)
-        at, uniq, inverse, counts = _block_runs(words, first, block, buckets)
+        _, _, hashed, first = _load(batch)
+        at, uniq, inverse, counts = _block_runs(hashed(0), first, block, buckets)
         row_start = np.repeat(first[:-1], np.diff(first))
         aligned = np.zeros(len(uniq), bool)
         aligned[inverse[(at - row_start[at]) % block == 0]] = True
@@ -169,11 +181,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return _reply(table, many[inverse], counts)
 
     def _candidates(batch: pa.Table, replies: pa.Table):
-        _, _, words, first = _load(batch)
+        _, _, hashed, first = _load(batch)
+        words = hashed(0)
         at, uniq, inverse, _ = _block_runs(words, first, block, buckets)
         bounds = np.searchsorted(uniq, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
         hits = _answer(replies, bounds)[inverse] if len(at) else np.zeros(0, bool)
-        pos, pairs, back, counts = _long_runs(words, first, window, block, buckets, hits, at)
+        pos, pairs, back, counts = _long_runs(words, hashed(_SECOND), first, window, block, buckets, hits, at)
         return pos, pairs, back, counts, np.searchsorted(pairs["bucket"], np.arange(buckets + 1))
 
     def remove(batch: pa.Table, replies: pa.Table) -> pa.Table:

@@ -1,8 +1,8 @@
 """Words of whole texts as numpy arrays: spans, 64-bit hashes, hashes of word windows.
 
 A word is a run of characters outside the ASCII white space 0x20, 0x09-0x0D;
-its bytes are taken unchanged. Work goes on in slices of about a megabyte, so
-memory beyond the text itself is 8 bytes a word per array.
+its bytes are taken unchanged. Memory beyond the text itself is 8 bytes a word
+per array.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from orderlens.llm.common import text_bytes
 
@@ -24,9 +25,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _FOLD[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20
 
-_STEP = 1 << 20
-_LOW = 1 << 16
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LONG = 256  # bytes of a word above which it is hashed alone
 _WINDOW_BASE = np.uint64(0xD1342543DE82EF95)
 
 
@@ -36,10 +35,6 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_POW = _powers(_BASE, _LOW)
-_POW_HIGH_BASE = np.uint64(int(_POW[-1]) * int(_BASE) % (1 << 64))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (wrapping multiply and shift)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -126,32 +121,35 @@ def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray | None = Non
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    out = np.empty(len(starts), np.uint64)
-    lens = ends - starts
-    sizes = np.concatenate([[0], np.cumsum(lens)])
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + _STEP, side="right")) - 1)
-        n = lens[a:b]
-        first = sizes[a:b] - sizes[a]
-        pos = np.arange(sizes[b] - sizes[a]) - np.repeat(first, n)
-        values = data[pos + np.repeat(starts[a:b], n)].astype(np.uint64) + np.uint64(1)
-        values *= _POW[pos & (_LOW - 1)]
-        if n.max() > _LOW:
-            values *= _powers(_POW_HIGH_BASE, int(n.max() >> 16) + 1)[pos >> 16]
-        out[a:b] = mix(np.add.reduceat(values, first) ^ (n.astype(np.uint64) << np.uint64(48)))
-        a = b
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: its chunks of eight bytes go through a mixing step one after the other.
+
+    Salts give independent hashes. Long words go through a 64-bit hash function one by one.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) ^ np.uint64(salt ^ 0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    chunks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    long = np.flatnonzero(size > _LONG)
+    going = np.flatnonzero(size <= _LONG)
+    for k in range(0, _LONG, 8):
+        left = size[going] - k
+        going, left = going[left > 0], left[left > 0]
+        if not len(going):
+            break
+        drop = (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+        chunk = chunks[starts[going] + k] << drop
+        out[going] = mix(out[going] ^ chunk) + np.uint64(0x9E3779B97F4A7C15)
+    for w in long:
+        out[w] = xxhash.xxh3_64_intdigest(data[starts[w]: ends[w]].tobytes(), salt & 0xFFFFFFFFFFFFFFFF)
     return out
 
 
-def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` consecutive values of ``words`` (rows are not told apart)."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    words = mix(words ^ np.uint64(salt)) if salt else words
     out = np.zeros(n, np.uint64)
     for k, p in enumerate(_powers(_WINDOW_BASE, width)):
         out += words[k: k + n] * p
