@@ -14,24 +14,28 @@ any size.
 Defined cases: words are runs of Unicode letters and digits in lower case; an
 item of fewer than five words is matched as one run of all its words; null or
 wordless texts match nothing; repeated document rows give a row each, repeated
-items (same id) likewise; empty tables give no rows; extra columns are ignored.
+items (same id) likewise; empty tables give no rows; extra columns are ignored; ids
+of documents and items may be of any type.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from orderlens.llm.common import row_ranges, text_bytes
+from orderlens.llm.common import row_ranges, text_bytes, with_row_key
 from orderlens.llm.words import folded_text, window_hashes, word_hashes, word_spans
 
 MIN_TILE = 5
 COVERAGE = 0.8
 BLOCK_BYTES = 16 << 20
 _SLICE_BYTES = 1 << 22
+_BASE = 0x9E3779B97F4A7C15
 
 
 def folded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,21 +53,56 @@ def _free_runs(marked: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(seen[length:] == seen[:-length])
 
 
-def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray,
-             length: int) -> list[tuple[int, int]]:
-    """Pairs of equal unmarked windows, by hash and then word by word; a start appears once per side."""
-    ha, hb = window_hashes(a, length)[free_a], window_hashes(b, length)[free_b]
-    order = np.argsort(hb, kind="stable")
-    at = np.searchsorted(hb[order], ha)
-    out = []
-    for i in np.flatnonzero(at < len(hb)):
-        j = at[i]
-        while j < len(hb) and hb[order[j]] == ha[i]:
-            p, q = int(free_a[i]), int(free_b[order[j]])
-            if np.array_equal(a[p: p + length], b[q: q + length]):
-                out.append((p, q))
-            j += 1
-    return out
+class RunningHashes:
+    """Karp-Rabin hashes of all windows of a word sequence, at the same cost for every length."""
+
+    def __init__(self, words: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> None:
+        self.n, self.inverse = len(words), powers[1]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[0][: self.n], dtype=np.uint64)])
+
+    def windows(self, length: int) -> np.ndarray:
+        n = max(0, self.n - length + 1)
+        return (self.sums[length: length + n] - self.sums[:n]) * self.inverse[:n]
+
+    @staticmethod
+    def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``n`` powers of the base and of its inverse modulo 2^64."""
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(n, base, np.uint64)
+            p[:1] = 1
+            both.append(np.cumprod(p, dtype=np.uint64))
+        return both[0], both[1]
+
+
+def _mark_tiles(item: np.ndarray, text: np.ndarray, marked_a: np.ndarray, marked_b: np.ndarray, ha: np.ndarray,
+                hb: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Marks equal windows of ``length`` unmarked words, item starts in order, each with the first text start still free.
+
+    Starts of one hash are a queue; a start that is not free any more never becomes so
+    again and leaves it, so a pass takes as many steps as there are windows.
+    """
+    free_a, free_b = _free_runs(marked_a, length), _free_runs(marked_b, length)
+    free_a, free_b = free_a[np.isin(ha[free_a], hb[free_b])], free_b[np.isin(hb[free_b], ha[free_a])]
+    queues: dict[int, deque] = {}
+    for q, h in zip(free_b.tolist(), hb[free_b].tolist()):
+        queues.setdefault(h, deque()).append(q)
+    tiles = []
+    end = 0
+    for p, h in zip(free_a.tolist(), ha[free_a].tolist()):
+        if p < end:  # inside the tile just marked
+            continue
+        queue = queues[h]
+        while queue and (marked_b[queue[0]] or marked_b[queue[0] + length - 1]):
+            queue.popleft()
+        for q in queue:  # the first one, unless different words share a hash
+            if not marked_b[q] and not marked_b[q + length - 1] and np.array_equal(item[p: p + length], text[q: q + length]):
+                marked_a[p: p + length] = True
+                marked_b[q: q + length] = True
+                tiles.append((p, q, length))
+                end = p + length
+                break
+    return tiles
 
 
 def greedy_tiles(item: np.ndarray, text: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:
@@ -73,26 +112,20 @@ def greedy_tiles(item: np.ndarray, text: np.ndarray, min_tile: int = MIN_TILE) -
     tiles: list[tuple[int, int, int]] = []
     if min_tile == 0 or len(text) < min_tile:
         return tiles
+    powers = RunningHashes.powers(max(len(item), len(text)))
+    hash_a, hash_b = RunningHashes(item, powers), RunningHashes(text, powers)
     high = min(len(item), len(text))
     while high >= min_tile:
         # the longest length that still has a match: matches of a length have matches of all shorter ones
-        low, best, found = min_tile, 0, []
-        top = high
-        while low <= top:
+        low, top = min_tile - 1, high
+        while low < top:
             mid = (low + top + 1) // 2
-            hits = _matches(item, text, _free_runs(marked_a, mid), _free_runs(marked_b, mid), mid)
-            if hits:
-                best, found, low = mid, hits, mid + 1
-            else:
-                top = mid - 1
-        if not best:
+            ha, hb = hash_a.windows(mid)[_free_runs(marked_a, mid)], hash_b.windows(mid)[_free_runs(marked_b, mid)]
+            low, top = (mid, top) if np.isin(ha, hb).any() else (low, mid - 1)
+        if low < min_tile:
             break
-        for p, q in found:
-            if not marked_a[p: p + best].any() and not marked_b[q: q + best].any():
-                marked_a[p: p + best] = True
-                marked_b[q: q + best] = True
-                tiles.append((p, q, best))
-        high = best
+        tiles += _mark_tiles(item, text, marked_a, marked_b, hash_a.windows(low), hash_b.windows(low), low)
+        high = low - 1
     return tiles
 
 
@@ -104,10 +137,12 @@ def _near_seeds(seeds: np.ndarray, n_words: int, reach: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _block_overlaps(docs: DataFrame, ids: list, texts: list[str], min_tile: int, id_type: str) -> DataFrame:
+def _block_overlaps(docs: DataFrame, ids: list, texts: list[str], min_tile: int, id_type: str,
+                    item_type: T.DataType) -> DataFrame:
     """Overlaps with one block of items; its words and seeds go to every task."""
     spark = docs.sparkSession
     words, first = folded_words(pa.array(texts, pa.string()))
+    item_kind = to_arrow_type(item_type)
     per_item = [words[first[i]: first[i + 1]] for i in range(len(ids))]
     widths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for width in sorted({min(min_tile, len(w)) for w in per_item if len(w)}):
@@ -118,7 +153,7 @@ def _block_overlaps(docs: DataFrame, ids: list, texts: list[str], min_tile: int,
         order = np.argsort(flat, kind="stable")
         widths[width] = flat[order], owner[order]
     shared = spark.sparkContext.broadcast((per_item, widths))
-    keys = pa.array(ids, pa.int64())
+    keys = pa.array(ids, item_kind)
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, by_width = shared.value
@@ -161,7 +196,7 @@ def _block_overlaps(docs: DataFrame, ids: list, texts: list[str], min_tile: int,
                  n[0], n[1], pa.array(longest, pa.int64()), pa.array(tiles_n, pa.int32())],
                 names=["_id", "_item", "covered_words", "item_words", "longest_tile", "n_tiles"])
 
-    return docs.mapInArrow(overlaps, f"_id {id_type}, _item long, covered_words long, item_words long, "
+    return docs.mapInArrow(overlaps, f"_id {id_type}, _item {item_type.simpleString()}, covered_words long, item_words long, "
                                      "longest_tile long, n_tiles int")
 
 
@@ -178,11 +213,11 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     def flush() -> None:
         nonlocal out, ids, texts, size
-        part = _block_overlaps(source, ids, texts, min_tile, id_type)
+        part = _block_overlaps(source, ids, texts, min_tile, id_type, items.schema["i"].dataType)
         out = part if out is None else out.unionByName(part)
         ids, texts, size = [], [], 0
 
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(
+    items = benchmark.select(F.col(item_col).alias("i"), F.coalesce(
         F.col(item_text_col).cast("string"), F.lit("")).alias("t")).orderBy("i", "t")
     for row in items.toLocalIterator():  # at most one block of items is on the driver at a time
         ids.append(row["i"])
@@ -197,9 +232,12 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                       "longest_tile", "n_tiles", share.alias("coverage"), (share >= coverage).alias("contaminated"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item, with their columns (null ids stay)."""
-    hits = benchmark_overlaps(docs, benchmark, id_col, text_col).filter("contaminated")
-    drop = hits.select(F.col(id_col).alias("_drop_id")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("_drop_id"), "left_anti").select(*docs.columns)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that hold no benchmark item, with their columns.
+
+    Judged row by row, whatever the ids: rows are told apart by their place in the
+    input, so ``docs`` must be a stored table.
+    """
+    keyed, row = with_row_key(docs)
+    hits = benchmark_overlaps(keyed, benchmark, row, text_col).filter("contaminated").select(row).distinct()
+    return keyed.join(hits, row, "left_anti").select(*docs.columns)
