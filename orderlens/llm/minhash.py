@@ -18,7 +18,8 @@ from label propagation on tables, not on the driver.
 
 Defined cases: words are runs of Unicode letters and digits in lower case; a text of fewer than five words is one shingle of all its
 words; null, empty and wordless texts have no shingles and are each their own
-class; repeated rows share a class; extra columns are ignored.
+class; repeated rows share a class; ids may repeat or be null, as each row is judged by
+itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.llm.common import materialize, row_ranges, text_bytes
+from orderlens.llm.common import materialize, row_ranges, text_bytes, with_row_key
 from orderlens.llm.words import folded_text, mix, window_hashes, word_hashes, word_spans
 
 WIDTH = 5
@@ -133,14 +134,17 @@ def _poisson(h: np.ndarray, mean: float) -> np.ndarray:
 
 def document_features(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows_per_band: int = ROWS,
                       width: int = WIDTH) -> DataFrame:
-    """``_id``, key of the shingle set, its sorted shingles cut to 32 bits, band keys (every shingle weighs 1)."""
+    """``_row`` (a key of the input row), ``_id``, key of the shingle set, its sorted shingles cut to 32 bits, band keys.
+
+    Every shingle weighs 1.
+    """
     k = bands * rows_per_band
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, off = text_bytes(batch.column(1))
+            _, off = text_bytes(batch.column(2))
             for a, b in row_ranges(off, _SLICE_BYTES):
-                rows, hashes = shingles(*folded_text(batch.column(1).slice(a, b - a)), width)
+                rows, hashes = shingles(*folded_text(batch.column(2).slice(a, b - a)), width)
                 order = np.lexsort((hashes, rows))
                 rows, hashes = rows[order], hashes[order]
                 lead = np.ones(len(rows), bool)
@@ -167,14 +171,15 @@ def document_features(docs: DataFrame, id_col: str, text_col: str, bands: int =
                     pa.array(np.append(np.cumsum(has * bands) - has * bands, has.sum() * bands).astype(np.int32)),
                     pa.array(keys[has].view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)),
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size.astype(np.int64)),
                      pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)),
                      raw.cast(pa.binary()), band],
-                    names=["_id", "_size", "_set_a", "_set_b", "_shingles", "_bands"])
+                    names=["_row", "_id", "_size", "_set_a", "_set_b", "_shingles", "_bands"])
 
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"),
+                         F.col(text_col).cast("string").alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(features, f"_id {kind}, _size long, _set_a long, _set_b long, "
+    return source.mapInArrow(features, f"_row long, _id {kind}, _size long, _set_a long, _set_b long, "
                                        "_shingles binary, _bands array<long>")
 
 
@@ -346,19 +351,14 @@ def rest_links(placed: DataFrame, stored: DataFrame, tried: DataFrame, similarit
     return materialize(similar_pairs(pairs, stored, similarity).union(in_blocks).distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    similarity: float = SIMILARITY, bands: int = BANDS, rows_per_band: int = ROWS,
-                    width: int = WIDTH) -> DataFrame:
-    """One row per document: id, class id (smallest id of its class), size of the class, kept.
-
-    Ids must be integers; rows with a null id are classes of their own, and an id
-    that repeats with different texts stands for all of them.
-    """
+def near_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows_per_band: int,
+                 width: int) -> DataFrame:
+    """``_row`` (place of the input row), ``_id``, ``_class`` (a row of the class) for every row of ``docs``."""
     features = materialize(document_features(docs, id_col, text_col, bands, rows_per_band, width), "features")
     sets = materialize(
-        features.filter("_size > 0 and _id is not null").groupBy("_set_a", "_set_b", "_size").agg(
-            F.min(F.struct("_id", "_bands")).alias("_first"))
-        .select(F.col("_first._id").alias("_rep"), "_set_a", "_set_b", "_size", F.col("_first._bands").alias("_bands")),
+        features.filter("_size > 0").groupBy("_set_a", "_set_b", "_size").agg(
+            F.min(F.struct("_row", "_bands")).alias("_first"))
+        .select(F.col("_first._row").alias("_rep"), "_set_a", "_set_b", "_size", F.col("_first._bands").alias("_bands")),
         "sets")
     buckets = sets.select("_rep", F.posexplode("_bands").alias("_band", "_key"))
     shared = buckets.groupBy("_band", "_key").agg(F.count("*").alias("n")).filter("n > 1").select("_band", "_key")
@@ -366,9 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(buckets.join(shared, ["_band", "_key"]), "members")
     involved = materialize(members.select("_rep").distinct(), "involved")
     near = sets.join(involved, "_rep", "left_semi")
-    stored = features.select(F.col("_id").alias("_rep"), "_set_a", "_set_b", "_shingles").join(
-        near.select("_rep", "_set_a", "_set_b"), ["_rep", "_set_a", "_set_b"], "left_semi")
-    stored = materialize(stored.dropDuplicates(["_rep", "_set_a", "_set_b"]).select("_rep", "_shingles"), "shingles")
+    stored = materialize(features.select(F.col("_row").alias("_rep"), "_shingles").join(involved, "_rep", "left_semi"), "shingles")
 
     deeper = [near.select("_rep", F.posexplode(_joined_bands(bands, depth)).alias("_band", "_key")).withColumn(
         "_band", F.col("_band") + bands * depth) for depth in DEPTHS]
@@ -391,19 +389,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = merged(labels, rest_links(_with_labels(members, labels), stored, tried, similarity))
 
     by_set = sets.join(labels.select(F.col("node").alias("_rep"), F.col("label").alias("_l")), "_rep", "left").select(
-        "_set_a", "_set_b", "_size", F.coalesce("_l", "_rep").alias("class_id"))
+        "_set_a", "_set_b", "_size", F.coalesce("_l", "_rep").alias("_class"))
     by_set = materialize(by_set, "classes")
-    placed = features.select("_id", "_set_a", "_set_b", "_size").join(by_set, ["_set_a", "_set_b", "_size"], "left")
-    placed = materialize(placed.select("_id", F.when(F.col("_id").isNotNull(), F.coalesce("class_id", "_id"))
-                                       .alias("class_id")), "placed")
-    sizes = materialize(placed.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1"), "sizes")
-    return placed.join(sizes, "class_id", "left").select(
-        F.col("_id").alias(id_col), "class_id",
-        F.when(F.col("_id").isNull(), 1).otherwise(F.coalesce("class_size", F.lit(1))).cast("long").alias("class_size"),
-        (F.col("_id").isNull() | (F.col("_id") == F.col("class_id"))).alias("kept"))
+    placed = features.select("_row", "_id", "_set_a", "_set_b", "_size").join(by_set, ["_set_a", "_set_b", "_size"], "left")
+    return materialize(placed.select("_row", "_id", F.coalesce("_class", "_row").alias("_class")), "placed")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows_per_band: int,
+            width: int) -> DataFrame:
+    """Per row of ``docs``: ``_row``, ``_id``, and of its class the first row (``_first``: id, row) and the size ``_n``.
+
+    First is the smallest id, null ids last, of equal ids the first row.
+    """
+    placed = near_classes(docs, id_col, text_col, similarity, bands, rows_per_band, width)
+    order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    classes = placed.groupBy("_class").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    return placed.join(materialize(classes, "sizes"), "_class", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    similarity: float = SIMILARITY, bands: int = BANDS, rows_per_band: int = ROWS,
+                    width: int = WIDTH) -> DataFrame:
+    """One row per row of ``docs``: id, class id (smallest id of its class), size of the class, kept.
+
+    Rows are told apart by their place, so ids of any type may repeat or be null;
+    exactly one row of each class is kept.
+    """
+    judged = _judged(docs, id_col, text_col, similarity, bands, rows_per_band, width)
+    alone = F.col("_n").isNull()
+    return judged.select(
+        F.col("_id").alias(id_col), F.when(alone, F.col("_id")).otherwise(F.col("_first.id")).alias("class_id"),
+        F.coalesce("_n", F.lit(1)).cast("long").alias("class_size"),
+        (alone | (F.col("_first.row") == F.col("_row"))).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose document is the first of its class, with their columns."""
-    drop = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_drop_id"))
-    return docs.join(drop, F.col(id_col) == F.col("_drop_id"), "left_anti").select(*docs.columns)
+    """The first row of ``docs`` of each class, with its columns (``docs`` must be a stored table)."""
+    keyed, row = with_row_key(docs)
+    judged = _judged(docs, id_col, text_col, SIMILARITY, BANDS, ROWS, WIDTH)
+    drop = judged.filter(F.col("_first.row") != F.col("_row")).select(F.col("_row").alias(row))
+    return keyed.join(drop, row, "left_anti").select(*docs.columns)
