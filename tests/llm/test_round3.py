@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orderlens.llm import language_id, merkle, repeat_spans, run_index, token_align
+from orderlens.llm import decontaminate, language_id, merkle, minhash, repeat_spans, run_index, substring_dedup, token_align
+from orderlens.llm.words import word_hashes, word_spans
 
 # extra columns whose names operators use themselves
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, batch long, _g int, leaf string"
@@ -134,7 +136,7 @@ def repetitive():
     return rows
 
 
-@pytest.mark.parametrize("hot, batch, bucket", [(4096, 4 << 20, 8 << 20), (4096, 2000, 3000), (3, 2000, 3000), (0, 10**9, 10**9)])
+@pytest.mark.parametrize("hot, batch, bucket", [(1 << 16, 4 << 20, 8 << 20), (1 << 16, 2000, 3000), (3, 2000, 3000), (0, 10**9, 10**9)])
 def test_repeat_spans_match_brute_force(spark, repetitive, hot, batch, bucket):
     docs = docs_of(spark, [(i, t, "en") for i, t in repetitive]).repartition(3)
     got = repeat_spans.repeat_spans(docs, hot=hot, batch_bytes=batch, bucket_bytes=bucket, keep_bytes=True).collect()
@@ -291,3 +293,71 @@ def test_the_shortcut_equals_the_whole_recursion():
             assert value(mine_path) == pytest.approx(value(path))
             if paths[r] is not None:
                 assert lang[r] == np.bincount(path, letters[mine], 3).argmax()
+
+
+def test_rows_of_repeated_and_null_ids_are_judged_by_themselves(spark, tmp_path):
+    """Ids 3 = A, 5 = A', 5 = B, 9 = B': A and B stay; so does one row of two equal ones, and of null ids."""
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(3, a, "en"), (5, a + " end", "en"), (5, b, "en"), (9, b + " end", "en"), (7, c, "en"), (7, c, "en"),
+            (None, d, "en"), (None, d + " end", "en"), (None, None, "en"), (None, "", "en")]
+    path = str(tmp_path / "documents")
+    docs_of(spark, rows).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = minhash.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size, r.kept) for r in got) == Counter({
+        (3, 3, 2, True): 1, (5, 3, 2, False): 1, (5, 5, 2, True): 1, (9, 5, 2, False): 1, (7, 7, 2, True): 1, (7, 7, 2, False): 1,
+        (None, None, 2, True): 1, (None, None, 2, False): 1, (None, None, 1, True): 2})
+    kept = minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    texts = Counter(r.text for r in kept.collect())
+    assert texts[a] == texts[b] == texts[c] == 1 and texts[d] + texts[d + " end"] == 1 and texts[None] == texts[""] == 1
+    bench = spark.createDataFrame([("i1", b), ("i2", d)], "item_id string, text string")
+    overlaps = decontaminate.benchmark_overlaps(docs, bench).filter("contaminated").collect()
+    assert Counter((r.doc_id, r.item_id) for r in overlaps) == Counter({(5, "i1"): 1, (9, "i1"): 1, (None, "i2"): 2})
+    clean = Counter(r.text for r in decontaminate.without_contaminated(docs, bench).collect())
+    assert clean == Counter([a, a + " end", c, c, None, ""])
+
+
+def test_near_duplicates_take_text_ids(spark):
+    rng = random.Random(12)
+    a = words(rng, 50)
+    docs = docs_of(spark, [(1, a, "en"), (2, a + " x", "en"), (3, words(rng, 50), "en")]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = {r.doc_id: (r.class_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {"d1": ("d1", True), "d2": ("d1", False), "d3": ("d3", True)}
+
+
+def test_tiling_of_equal_words_is_bounded():
+    one = np.full(20_000, 5, np.uint64)
+    start = time.perf_counter()
+    tiles = decontaminate.greedy_tiles(one[:2000], one)
+    mixed = decontaminate.greedy_tiles(np.tile(np.arange(1, 8, dtype=np.uint64), 200), np.tile(np.arange(1, 7, dtype=np.uint64), 2500))
+    assert time.perf_counter() - start < 2
+    assert tiles == [(0, 0, 2000)]
+    assert sum(n for _, _, n in mixed) == 200 * 6
+
+
+def test_running_hashes_tell_windows_apart():
+    rng = np.random.default_rng(6)
+    sequence = rng.integers(1, 4, 400).astype(np.uint64)
+    hashes = decontaminate.RunningHashes(sequence, decontaminate.RunningHashes.powers(400))
+    for length in (1, 2, 5, 50, 400, 401):
+        got = hashes.windows(length)
+        want = [tuple(sequence[p: p + length]) for p in range(400 - length + 1)]
+        assert len(got) == len(want)
+        assert len({(int(h), w) for h, w in zip(got, want)}) == len(set(want)) == len(set(got.tolist()))
+
+
+def test_word_hashes_have_no_pattern_collisions(spark):
+    """The Thue-Morse words of 1024 letters and its complement share any polynomial hash modulo 2^64."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    x, y = "".join("ab"[v] for v in bits), "".join("ba"[v] for v in bits)
+    samples = [x, y, x[:255], y[:255], x[:256], y[:256], "a", "a\x00", "\x00", "b", "ab", "abcdefgh", "abcdefghi", "abcdefgh\x00", "é" * 200]
+    data = " ".join(samples).encode()
+    starts, ends, _ = word_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(starts) == len(samples)
+    first, second = (word_hashes(np.frombuffer(data, np.uint8), starts, ends, salt) for salt in (0, 77))
+    assert len(set(first.tolist()) | set(second.tolist())) == 2 * len(samples)
+    shared = " ".join(f"w{k}" for k in range(34))
+    got = substring_dedup.substring_dedup(docs_of(spark, [(1, f"{shared} {x}", "en"), (2, f"{shared} {y}", "en"), (3, f"{shared} {x}", "en")]))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 35, 2: 0, 3: 35}
