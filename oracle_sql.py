@@ -8,6 +8,9 @@ report metrics are rounded to 9 places, as the Spark side does.
 
 from __future__ import annotations
 
+from orderlens.ml.bootstrap import poisson_limits
+from orderlens.operators.findings import TEXT
+
 _RAW_ONCE = """
 raw_orders_once AS (
   SELECT CAST(o.o_orderkey AS VARCHAR) AS order_id,
@@ -370,6 +373,126 @@ _STATUS = "\nUNION ALL\n".join([
           "TRUE", m1="freight_share"),
 ])
 
+def _pct(x: str, digits: int = 1) -> str:
+    return f"format('{{:.{digits}f}}%', ({x}) * 100)"
+
+
+def _num(x: str, digits: int) -> str:
+    return f"format('{{:.{digits}f}}', {x})"
+
+
+def _count(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+def _money(x: str) -> str:
+    return f"{_count(f'trunc({x})')} || '.' || right('0' || CAST(CAST(abs({x} - trunc({x})) * 100 AS INTEGER) AS VARCHAR), 2)"
+
+
+def _text(kind: str, rule: str, seq: int, where: str, *cases: tuple[str, str, list[str]]) -> str:
+    """One finding: ``cases`` are (condition, key of the text, its arguments)."""
+    def one(key: str, args: list[str]) -> str:
+        words = TEXT[key].replace("'", "''")
+        return f"printf('{words}', {', '.join(args)})" if args else f"'{words}'"
+
+    text = "CASE " + " ".join(f"WHEN {c} THEN {one(key, args)}" for c, key, args in cases) + " END"
+    return f"SELECT '{kind}' AS kind, '{rule}' AS rule_id, {seq} AS seq, {text} AS text FROM m WHERE total_orders > 0 AND ({where})"
+
+
+def _texts() -> str:
+    late, fs, rev, g, gap = "late_rate", "freight_share", "average_review", "latest_growth", "review_gap"
+    rec, ins, state = "recommendation", "insight", "status"
+    return "\nUNION ALL\n".join([
+        _text(rec, "R1", 1, "TRUE", (f"{late} > 0.10", "R1_warn", [_pct(late)]), ("TRUE", "R1_ok", [_pct(late)])),
+        _text(rec, "R2", 2, "TRUE", (f"{fs} > 0.15", "R2_warn", [_pct(fs)]), ("TRUE", "R2_ok", [_pct(fs)])),
+        _text(rec, "R3", 3, f"{rev} IS NOT NULL", (f"{rev} < 4", "R3_warn", [_num(rev, 2)]), ("TRUE", "R3_ok", [_num(rev, 2)])),
+        _text(rec, "R4", 4, "TRUE", ("TRUE", "R4", ["top_category", _pct("top_category_share")])),
+        _text(rec, "R5", 5, "highest_risk_state IS NOT NULL", ("TRUE", "R5", [
+            "highest_risk_state", _pct("highest_risk_state_late_rate"), _count("highest_risk_state_orders")])),
+        _text(rec, "R6", 6, "highest_risk_category IS NOT NULL", ("TRUE", "R6", [
+            "highest_risk_category", _pct("highest_risk_category_late_rate")])),
+        _text(rec, "R7", 7, "highest_freight_category IS NOT NULL", ("TRUE", "R7", [
+            "highest_freight_category", _pct("highest_freight_category_share")])),
+        _text(rec, "R8", 8, f"{gap} IS NOT NULL AND {gap} > 0.25", ("TRUE", "R8", [_num(gap, 2)])),
+        _text(rec, "R9", 9, "average_late_delay > 3", ("TRUE", "R9", [_num("average_late_delay", 1)])),
+        _text(rec, "R10", 10, "TRUE", ("repeat_rate < 0.10", "R10_low", [_pct("repeat_rate")]), ("TRUE", "R10_ok", [_pct("repeat_rate")])),
+        _text(rec, "R11", 11, f"{g} IS NOT NULL", (f"{g} < 0", "R11_down", [_pct(f"abs({g})")]), ("TRUE", "R11_up", [_pct(g)])),
+        _text(rec, "R12", 12, "top_three_category_share > 0.60", ("TRUE", "R12", [_pct("top_three_category_share")])),
+        _text(ins, "I1", 1, "TRUE", ("TRUE", "I1", ["top_category", _pct("top_category_share")])),
+        _text(ins, "I2", 2, "TRUE", ("TRUE", "I2", ["top_state", _pct("top_state_share")])),
+        _text(ins, "I3", 3, "TRUE", ("TRUE", "I3", [_pct("top_three_category_share")])),
+        _text(ins, "I4", 4, "TRUE", ("TRUE", "I4", ["peak_period", _money("peak_revenue")])),
+        _text(ins, "I5", 5, "TRUE", ("TRUE", "I5", [_count("late_orders"), _count("total_orders"), _pct("on_time_rate")])),
+        _text(ins, "I6", 6, "TRUE", ("TRUE", "I6", [_pct("repeat_rate"), _count("customers")])),
+        _text(ins, "I7", 7, "TRUE", ("TRUE", "I7", [_pct(fs)])),
+        _text(ins, "I8", 8, "TRUE", ("late_orders > 0", "I8_late", [_num("average_late_delay", 1)]), ("TRUE", "I8_none", [])),
+        _text(ins, "I9", 9, f"{g} IS NOT NULL", ("TRUE", "I9", [
+            f"CASE WHEN {g} >= 0 THEN 'increased' ELSE 'decreased' END", _pct(f"abs({g})")])),
+        _text(ins, "I10", 10, "highest_risk_state IS NOT NULL", ("TRUE", "I10", [
+            "highest_risk_state", _pct("highest_risk_state_late_rate"), _count("highest_risk_state_orders")])),
+        _text(ins, "I11", 11, "highest_risk_category IS NOT NULL", ("TRUE", "I11", [
+            "highest_risk_category", _pct("highest_risk_category_late_rate"), _count("highest_risk_category_orders")])),
+        _text(ins, "I12", 12, f"{gap} IS NOT NULL", ("TRUE", "I12", [
+            _num(f"abs({gap})", 2), f"CASE WHEN {gap} >= 0 THEN 'higher' ELSE 'lower' END"])),
+        _text(ins, "I13", 13, "highest_freight_category IS NOT NULL", ("TRUE", "I13", [
+            "highest_freight_category", _pct("highest_freight_category_share")])),
+        _text(state, "G1", 1, "TRUE", (f"{late} <= 0.10", "G1_ok", []), ("TRUE", "G1_warn", [])),
+        _text(state, "G2", 2, "TRUE", (f"{rev} IS NOT NULL AND {rev} >= 4", "G2_ok", []), ("TRUE", "G2_warn", [])),
+        _text(state, "G3", 3, "TRUE", (f"{fs} <= 0.15", "G3_ok", []), ("TRUE", "G3_warn", [])),
+    ])
+
+
+_VIEW_NONE = "view AS (SELECT * FROM mart WHERE customer_state = 'no such state')"
+_VIEW_WIDEST = """gaps AS (
+  SELECT customer_state, avg(CASE WHEN delivery_status = 'On Time' THEN average_review_score END)
+           - avg(CASE WHEN delivery_status = 'Late' THEN average_review_score END) AS gap
+  FROM mart GROUP BY 1
+),
+view AS (SELECT * FROM mart WHERE customer_state = (
+  SELECT customer_state FROM gaps WHERE gap IS NOT NULL ORDER BY gap DESC, customer_state LIMIT 1))"""
+
+_SORTED = """
+SELECT 'category_summary' AS output, row_number() OVER (ORDER BY revenue DESC, product_category) AS rank,
+       product_category AS key, revenue FROM cat
+UNION ALL SELECT 'state_summary', row_number() OVER (ORDER BY revenue DESC, customer_state), customer_state, revenue FROM st
+UNION ALL SELECT 'monthly_revenue', row_number() OVER (ORDER BY purchase_period), purchase_period, NULL FROM mon
+UNION ALL SELECT 'filter_domains', row_number() OVER (ORDER BY domain, value), domain || '=' || value, NULL FROM (
+  SELECT DISTINCT 'customer_state' AS domain, customer_state AS value FROM mart
+  UNION ALL SELECT DISTINCT 'product_category', product_category FROM mart
+  UNION ALL SELECT DISTINCT 'model_product_category', product_category FROM mart
+  UNION ALL SELECT DISTINCT 'seller_state', seller_state FROM mart)
+"""
+
+_NUMBER_FORMATS = (
+    "SELECT order_id, "
+    + ", ".join([
+        _pct("CAST(item_count AS DOUBLE) / 16") + " AS share", _pct("CAST(item_count AS DOUBLE) / 80", 2) + " AS fine_share",
+        _num("CAST(total_sales AS DOUBLE) / 8", 2) + " AS eighth", _num("-CAST(total_sales AS DOUBLE) / 4", 1) + " AS quarter",
+        _num("delivery_days", 1) + " AS days",
+        _count("round_even(CAST(total_sales AS DOUBLE) * 12.5, 0)") + " AS grouped",
+        _num("CAST(item_count AS DOUBLE) * CAST(0.15 AS DOUBLE)", 1) + " AS binary",
+        _count("floor(CAST(total_sales AS DOUBLE))") + " AS units", _money("total_sales") + " AS money"])
+    + " FROM mart")
+
+# The orders' timestamps as text, some of them no timestamps.
+_TEXT_ORDERS = """
+text_orders AS (
+  SELECT order_id, customer_id, order_status, pos,
+         CASE CAST(order_id AS BIGINT) % 8
+              WHEN 2 THEN strftime(order_purchase_timestamp, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN 'not a date' WHEN 4 THEN ''
+              WHEN 5 THEN '2018-13-45 00:00:00' WHEN 6 THEN strftime(order_purchase_timestamp, '%Y-%m-%d')
+              ELSE strftime(order_purchase_timestamp, '%Y-%m-%d %H:%M:%S') || '.250000' END AS purchase,
+         CASE WHEN CAST(order_id AS BIGINT) % 9 = 1 THEN 'unknown'
+              ELSE strftime(order_delivered_customer_date, '%Y-%m-%d %H:%M:%S') END AS delivery,
+         strftime(order_estimated_delivery_date, '%Y-%m-%d %H:%M:%S') AS estimate
+  FROM raw_orders
+),
+text_first AS (
+  SELECT order_id, customer_id, order_status, TRY_CAST(purchase AS TIMESTAMP) AS order_purchase_timestamp,
+         TRY_CAST(delivery AS TIMESTAMP) AS order_delivered_customer_date, TRY_CAST(estimate AS TIMESTAMP) AS order_estimated_delivery_date
+  FROM text_orders QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY pos) = 1
+)"""
+
 _DQ = """
 SELECT 'DQ1' AS check_id, 'translation.product_category_name' AS subject,
        (SELECT count(*) FROM (SELECT product_category_name FROM raw_translation GROUP BY 1 HAVING count(*) > 1)) AS violations
@@ -453,6 +576,16 @@ def oracle_queries() -> dict[str, str]:
         "insights": _q(_INSIGHTS),
         "business_status": _q(_STATUS),
         "recommendations_filtered": _q(_RECOMMENDATIONS, view=_VIEW_FILTERED),
+        "finding_texts": _q(_texts()),
+        "finding_texts_filtered": _q(_texts(), view=_VIEW_FILTERED),
+        "number_formats": _q(_NUMBER_FORMATS, summaries=False),
+        "sorted_outputs": _q(_SORTED),
+        "kpis_no_match": _q(_KPIS, view=_VIEW_NONE),
+        "findings_no_match": _q(_texts(), view=_VIEW_NONE),
+        "recommendations_widest_gap": _q(_RECOMMENDATIONS, view=_VIEW_WIDEST),
+        "delivered_orders_text": "WITH " + _RAW.strip() + "," + _TEXT_ORDERS + """
+SELECT * FROM text_first WHERE order_status = 'delivered' AND order_purchase_timestamp IS NOT NULL
+  AND order_delivered_customer_date IS NOT NULL AND order_estimated_delivery_date IS NOT NULL""",
         "dq_violations": _q(_DQ, summaries=False),
     }
     q.update(ml_oracle_queries())
@@ -539,7 +672,27 @@ def ml_oracle_queries() -> dict[str, str]:
     num = ["total_sales", "total_freight", "item_count", "estimated_delivery_days", "purchase_month"]
     cat = ["product_category", "customer_state", "seller_state"]
     tr = "tr AS (SELECT m.* FROM mart m JOIN split s USING (order_id) WHERE s.split = 'train')"
+    limits = poisson_limits()
+    copies = " + ".join(f"CAST(h >= {x} AS INTEGER)" for x in limits)
+    requests = (
+        "req AS (SELECT order_id, CAST(total_sales AS DOUBLE) AS total_sales, CAST(total_freight AS DOUBLE) AS total_freight, "
+        "CASE WHEN d != 6 THEN CAST(item_count AS DOUBLE) END AS item_count, estimated_delivery_days, "
+        "CAST(purchase_month AS DOUBLE) AS purchase_month, CASE WHEN d = 7 THEN 'never seen' ELSE product_category END AS product_category, "
+        "customer_state, CASE WHEN d != 8 THEN seller_state END AS seller_state "
+        "FROM (SELECT *, CAST(order_id AS BIGINT) % 10 AS d FROM mart))")
+    slots = "\nUNION ALL\n".join(
+        [f"SELECT order_id, '{c}' AS slot, round(coalesce({c}, (SELECT median(CAST({c} AS DOUBLE)) FROM tr)), 9) AS value FROM req "
+         f"WHERE coalesce({c}, (SELECT median(CAST({c} AS DOUBLE)) FROM tr)) != 0" for c in num]
+        + [f"SELECT order_id, '{c}=' || v, 1.0 FROM (SELECT order_id, coalesce({c}, (SELECT {c} FROM tr WHERE {c} IS NOT NULL "
+           f"GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1)) AS v FROM req) WHERE v IN (SELECT {c} FROM tr)" for c in cat])
     return {
+        "encoded_features": "WITH " + ",\n".join(p.strip() for p in [_RAW, _MART, _SPLIT, tr, requests]) + "\n" + slots,
+        "tree_weights": _qs(
+            f"SELECT order_id, tree, copies, round(copies * CAST(sum(copies) OVER (PARTITION BY tree) AS DOUBLE) "
+            f"/ (2.0 * sum(copies) OVER (PARTITION BY tree, is_late)), 9) AS weight "
+            f"FROM (SELECT order_id, is_late, tree, {copies} AS copies FROM (SELECT order_id, is_late, tree, "
+            f"CAST('0x' || substr(md5('42:' || tree || ':' || order_id), 1, 15) AS BIGINT) AS h "
+            f"FROM split, (SELECT unnest([0, 1, 2]) AS tree) WHERE split = 'train')) WHERE copies > 0"),
         "training_profile": _q(
             "SELECT count(*) AS orders, CAST(coalesce(sum(is_late), 0) AS BIGINT) AS late_orders, "
             "round(avg(is_late), 9) AS late_rate FROM mart", summaries=False),

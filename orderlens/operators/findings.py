@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.config import checkpoint_root
+from orderlens.functions.formats import count_text, fixed_text, money_text, percent_text
 from orderlens.operators import metrics as K
 
 # --- fixed values -----------------------------------------------------------
@@ -120,18 +121,6 @@ def dashboard_metrics(view: DataFrame, groups: DataFrame | None = None) -> DataF
     )
 
 
-def _pct(x: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", x * 100)
-
-
-def _num(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
-
-
-def _thousands(x: Column, digits: int = 0) -> Column:
-    return F.format_number(x, digits)
-
-
 def _row(rule_id: str, seq: int, severity: str | Column, label: str, text: Column,
          subject: Column | None = None, m1: Column | None = None, m2: Column | None = None,
          m3: Column | None = None) -> Column:
@@ -167,53 +156,53 @@ def recommendations_from(m: DataFrame, with_text: bool = True) -> DataFrame:
     late, fs, rev = c("late_rate"), c("freight_share"), c("average_review")
     rules = [
         F.when(late > LATE_RATE_GUARDRAIL,
-               _row("R1", 1, "warning", "High priority", F.format_string(TEXT["R1_warn"], _pct(late)), m1=late))
-        .otherwise(_row("R1", 1, "success", "Maintain", F.format_string(TEXT["R1_ok"], _pct(late)), m1=late)),
+               _row("R1", 1, "warning", "High priority", F.format_string(TEXT["R1_warn"], percent_text(late)), m1=late))
+        .otherwise(_row("R1", 1, "success", "Maintain", F.format_string(TEXT["R1_ok"], percent_text(late)), m1=late)),
         F.when(fs > FREIGHT_SHARE_GUARDRAIL,
-               _row("R2", 2, "warning", "Cost", F.format_string(TEXT["R2_warn"], _pct(fs)), m1=fs))
-        .otherwise(_row("R2", 2, "info", "Cost", F.format_string(TEXT["R2_ok"], _pct(fs)), m1=fs)),
+               _row("R2", 2, "warning", "Cost", F.format_string(TEXT["R2_warn"], percent_text(fs)), m1=fs))
+        .otherwise(_row("R2", 2, "info", "Cost", F.format_string(TEXT["R2_ok"], percent_text(fs)), m1=fs)),
         F.when(rev.isNotNull() & (rev < REVIEW_TARGET),
-               _row("R3", 3, "warning", "Customer experience", F.format_string(TEXT["R3_warn"], _num(rev, 2)), m1=rev))
+               _row("R3", 3, "warning", "Customer experience", F.format_string(TEXT["R3_warn"], fixed_text(rev, 2)), m1=rev))
         .when(rev.isNotNull(),
-              _row("R3", 3, "success", "Customer experience", F.format_string(TEXT["R3_ok"], _num(rev, 2)), m1=rev)),
+              _row("R3", 3, "success", "Customer experience", F.format_string(TEXT["R3_ok"], fixed_text(rev, 2)), m1=rev)),
         _row("R4", 4, "info", "Inventory",
-             F.format_string(TEXT["R4"], c("top_category"), _pct(c("top_category_share"))),
+             F.format_string(TEXT["R4"], c("top_category"), percent_text(c("top_category_share"))),
              subject=c("top_category"), m1=c("top_category_share")),
         F.when(c("highest_risk_state").isNotNull(),
                _row("R5", 5, "warning", "Geography",
-                    F.format_string(TEXT["R5"], c("highest_risk_state"), _pct(c("highest_risk_state_late_rate")),
-                                    _thousands(c("highest_risk_state_orders"))),
+                    F.format_string(TEXT["R5"], c("highest_risk_state"), percent_text(c("highest_risk_state_late_rate")),
+                                    count_text(c("highest_risk_state_orders"))),
                     subject=c("highest_risk_state"), m1=c("highest_risk_state_late_rate"),
                     m2=c("highest_risk_state_orders"))),
         F.when(c("highest_risk_category").isNotNull(),
                _row("R6", 6, "warning", "Seller operations",
-                    F.format_string(TEXT["R6"], c("highest_risk_category"), _pct(c("highest_risk_category_late_rate"))),
+                    F.format_string(TEXT["R6"], c("highest_risk_category"), percent_text(c("highest_risk_category_late_rate"))),
                     subject=c("highest_risk_category"), m1=c("highest_risk_category_late_rate"),
                     m2=c("highest_risk_category_orders"))),
         F.when(c("highest_freight_category").isNotNull(),
                _row("R7", 7, "info", "Shipping efficiency",
-                    F.format_string(TEXT["R7"], c("highest_freight_category"), _pct(c("highest_freight_category_share"))),
+                    F.format_string(TEXT["R7"], c("highest_freight_category"), percent_text(c("highest_freight_category_share"))),
                     subject=c("highest_freight_category"), m1=c("highest_freight_category_share"))),
         F.when(c("review_gap").isNotNull() & (c("review_gap") > REVIEW_GAP_ALERT),
-               _row("R8", 8, "warning", "Reviews", F.format_string(TEXT["R8"], _num(c("review_gap"), 2)),
+               _row("R8", 8, "warning", "Reviews", F.format_string(TEXT["R8"], fixed_text(c("review_gap"), 2)),
                     m1=c("review_gap"))),
         F.when(c("average_late_delay") > LATE_DELAY_ALERT_DAYS,
-               _row("R9", 9, "warning", "Escalation", F.format_string(TEXT["R9"], _num(c("average_late_delay"), 1)),
+               _row("R9", 9, "warning", "Escalation", F.format_string(TEXT["R9"], fixed_text(c("average_late_delay"), 1)),
                     m1=c("average_late_delay"))),
         F.when(c("repeat_rate") < REPEAT_RATE_TARGET,
-               _row("R10", 10, "info", "Retention", F.format_string(TEXT["R10_low"], _pct(c("repeat_rate"))),
+               _row("R10", 10, "info", "Retention", F.format_string(TEXT["R10_low"], percent_text(c("repeat_rate"))),
                     m1=c("repeat_rate")))
-        .otherwise(_row("R10", 10, "success", "Retention", F.format_string(TEXT["R10_ok"], _pct(c("repeat_rate"))),
+        .otherwise(_row("R10", 10, "success", "Retention", F.format_string(TEXT["R10_ok"], percent_text(c("repeat_rate"))),
                         m1=c("repeat_rate"))),
         F.when(c("latest_growth").isNotNull() & (c("latest_growth") < 0),
                _row("R11", 11, "warning", "Revenue trend",
-                    F.format_string(TEXT["R11_down"], _pct(F.abs(c("latest_growth")))), m1=c("latest_growth")))
+                    F.format_string(TEXT["R11_down"], percent_text(F.abs(c("latest_growth")))), m1=c("latest_growth")))
         .when(c("latest_growth").isNotNull(),
               _row("R11", 11, "success", "Revenue trend",
-                   F.format_string(TEXT["R11_up"], _pct(c("latest_growth"))), m1=c("latest_growth"))),
+                   F.format_string(TEXT["R11_up"], percent_text(c("latest_growth"))), m1=c("latest_growth"))),
         F.when(c("top_three_category_share") > TOP_THREE_SHARE_ALERT,
                _row("R12", 12, "info", "Portfolio risk",
-                    F.format_string(TEXT["R12"], _pct(c("top_three_category_share"))),
+                    F.format_string(TEXT["R12"], percent_text(c("top_three_category_share"))),
                     m1=c("top_three_category_share"))),
     ]
     return _explode(m, rules, with_text)
@@ -229,55 +218,55 @@ def insights_from(m: DataFrame, with_text: bool = True) -> DataFrame:
     g, gap = c("latest_growth"), c("review_gap")
     rules = [
         _row("I1", 1, "info", "Category leader",
-             F.format_string(TEXT["I1"], c("top_category"), _pct(c("top_category_share"))),
+             F.format_string(TEXT["I1"], c("top_category"), percent_text(c("top_category_share"))),
              subject=c("top_category"), m1=c("top_category_share")),
         _row("I2", 2, "info", "Geographic leader",
-             F.format_string(TEXT["I2"], c("top_state"), _pct(c("top_state_share"))),
+             F.format_string(TEXT["I2"], c("top_state"), percent_text(c("top_state_share"))),
              subject=c("top_state"), m1=c("top_state_share")),
         _row("I3", 3, "info", "Revenue concentration",
-             F.format_string(TEXT["I3"], _pct(c("top_three_category_share"))), m1=c("top_three_category_share")),
+             F.format_string(TEXT["I3"], percent_text(c("top_three_category_share"))), m1=c("top_three_category_share")),
         _row("I4", 4, "info", "Peak sales period",
-             F.format_string(TEXT["I4"], c("peak_period"), _thousands(c("peak_revenue"), 2)),
+             F.format_string(TEXT["I4"], c("peak_period"), money_text(c("peak_revenue"))),
              subject=c("peak_period"), m1=c("peak_revenue")),
         _row("I5", 5, "info", "Delivery outcome",
-             F.format_string(TEXT["I5"], _thousands(c("late_orders")), _thousands(c("total_orders")),
-                             _pct(c("on_time_rate"))),
+             F.format_string(TEXT["I5"], count_text(c("late_orders")), count_text(c("total_orders")),
+                             percent_text(c("on_time_rate"))),
              m1=c("late_orders"), m2=c("total_orders"), m3=c("on_time_rate")),
         _row("I6", 6, "info", "Customer retention",
-             F.format_string(TEXT["I6"], _pct(c("repeat_rate")), _thousands(c("customers"))),
+             F.format_string(TEXT["I6"], percent_text(c("repeat_rate")), count_text(c("customers"))),
              m1=c("repeat_rate"), m2=c("customers")),
-        _row("I7", 7, "info", "Freight burden", F.format_string(TEXT["I7"], _pct(c("freight_share"))),
+        _row("I7", 7, "info", "Freight burden", F.format_string(TEXT["I7"], percent_text(c("freight_share"))),
              m1=c("freight_share")),
         F.when(c("late_orders") > 0,
                _row("I8", 8, "info", "Late-order severity",
-                    F.format_string(TEXT["I8_late"], _num(c("average_late_delay"), 1)), subject=F.lit("late"),
+                    F.format_string(TEXT["I8_late"], fixed_text(c("average_late_delay"), 1)), subject=F.lit("late"),
                     m1=c("average_late_delay")))
         .otherwise(_row("I8", 8, "info", "Late-order severity", F.lit(TEXT["I8_none"]), subject=F.lit("none"))),
         F.when(g.isNotNull(),
                _row("I9", 9, "info", "Latest monthly movement",
-                    F.format_string(TEXT["I9"], F.when(g >= 0, "increased").otherwise("decreased"), _pct(F.abs(g))),
+                    F.format_string(TEXT["I9"], F.when(g >= 0, "increased").otherwise("decreased"), percent_text(F.abs(g))),
                     subject=F.when(g >= 0, "increased").otherwise("decreased"), m1=F.abs(g))),
         F.when(c("highest_risk_state").isNotNull(),
                _row("I10", 10, "info", "Highest-risk state",
-                    F.format_string(TEXT["I10"], c("highest_risk_state"), _pct(c("highest_risk_state_late_rate")),
-                                    _thousands(c("highest_risk_state_orders"))),
+                    F.format_string(TEXT["I10"], c("highest_risk_state"), percent_text(c("highest_risk_state_late_rate")),
+                                    count_text(c("highest_risk_state_orders"))),
                     subject=c("highest_risk_state"), m1=c("highest_risk_state_late_rate"),
                     m2=c("highest_risk_state_orders"))),
         F.when(c("highest_risk_category").isNotNull(),
                _row("I11", 11, "info", "Highest-risk category",
                     F.format_string(TEXT["I11"], c("highest_risk_category"),
-                                    _pct(c("highest_risk_category_late_rate")),
-                                    _thousands(c("highest_risk_category_orders"))),
+                                    percent_text(c("highest_risk_category_late_rate")),
+                                    count_text(c("highest_risk_category_orders"))),
                     subject=c("highest_risk_category"), m1=c("highest_risk_category_late_rate"),
                     m2=c("highest_risk_category_orders"))),
         F.when(gap.isNotNull(),
                _row("I12", 12, "info", "Delivery effect on reviews",
-                    F.format_string(TEXT["I12"], _num(F.abs(gap), 2), F.when(gap >= 0, "higher").otherwise("lower")),
+                    F.format_string(TEXT["I12"], fixed_text(F.abs(gap), 2), F.when(gap >= 0, "higher").otherwise("lower")),
                     subject=F.when(gap >= 0, "higher").otherwise("lower"), m1=F.abs(gap))),
         F.when(c("highest_freight_category").isNotNull(),
                _row("I13", 13, "info", "Highest freight burden",
                     F.format_string(TEXT["I13"], c("highest_freight_category"),
-                                    _pct(c("highest_freight_category_share"))),
+                                    percent_text(c("highest_freight_category_share"))),
                     subject=c("highest_freight_category"), m1=c("highest_freight_category_share"))),
     ]
     return _explode(m, rules, with_text)
@@ -306,3 +295,11 @@ def business_status_from(m: DataFrame, with_text: bool = True) -> DataFrame:
         status("G3", 3, "Freight", ok3, c("freight_share")),
     ]
     return _explode(m, rules, with_text)
+
+
+def finding_texts(view: DataFrame) -> DataFrame:
+    """The text of every finding of a view: kind, rule, place in its list, text."""
+    m = dashboard_metrics(view)
+    lists = {"recommendation": recommendations_from(m), "insight": insights_from(m), "status": business_status(view)}
+    parts = [df.select(F.lit(kind).alias("kind"), "rule_id", "seq", "text") for kind, df in lists.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -10,7 +10,9 @@ merge of k rows per task), never a global sort. Values are unrounded here;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +25,7 @@ from orderlens.functions.columns import (
     share_of_collected,
     share_or_null,
 )
+from orderlens.functions.formats import count_text, fixed_text, money_text, percent_text
 
 REVENUE = T.DecimalType(38, 2)
 FREIGHT = T.DecimalType(38, 4)
@@ -83,6 +86,46 @@ def kpis(view: DataFrame) -> DataFrame:
     )
 
 
+def with_rank(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` with its total order as a column: ``rank`` from 1 (a summary, one row per group)."""
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def sorted_outputs(mart: DataFrame) -> DataFrame:
+    """Ranks of all sorted outputs: which, rank, key, and the revenue it is sorted by (if it is)."""
+    none = F.lit(None).cast(REVENUE)
+    parts = []
+    for name, df, key in (("category_summary", category_summary(mart), "product_category"),
+                          ("state_summary", state_summary(mart), "customer_state")):
+        ranked = with_rank(df, *_by_revenue(key))
+        parts.append(ranked.select(F.lit(name).alias("output"), "rank", F.col(key).alias("key"), "revenue"))
+    months = with_rank(monthly_revenue(mart), "purchase_period")
+    parts.append(months.select(F.lit("monthly_revenue").alias("output"), "rank", F.col("purchase_period").alias("key"), none.alias("revenue")))
+    domains = with_rank(filter_domains(mart), "domain", "value")
+    parts.append(domains.select(F.lit("filter_domains").alias("output"), "rank",
+                                F.concat_ws("=", "domain", "value").alias("key"), none.alias("revenue")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def widest_review_gap_view(mart: DataFrame) -> DataFrame:
+    """The orders of the customer state whose reviews fall most when late (ties: the first state)."""
+    gaps = mart.groupBy("customer_state").agg(
+        (F.avg(F.when(F.col("delivery_status") == "On Time", F.col("average_review_score")))
+         - F.avg(F.when(F.col("delivery_status") == "Late", F.col("average_review_score")))).alias("gap"))
+    widest = gaps.where("gap is not null").orderBy(F.desc("gap"), "customer_state").limit(1)
+    return mart.where(F.col("customer_state") == widest.select("customer_state").scalar())
+
+
+def number_formats(mart: DataFrame) -> DataFrame:
+    """Per order, figures of the mart in all formats; sixteenths and eighths of them end in ties."""
+    sales, items = F.col("total_sales").cast(T.DoubleType()), F.col("item_count").cast(T.DoubleType())
+    return mart.select(
+        "order_id", percent_text(items / 16).alias("share"), percent_text(items / 80, 2).alias("fine_share"),
+        fixed_text(sales / 8, 2).alias("eighth"), fixed_text(-sales / 4, 1).alias("quarter"),
+        fixed_text(F.col("delivery_days"), 1).alias("days"), fixed_text(sales * 12.5, 0, grouped=True).alias("grouped"),
+        fixed_text(items * 0.15, 1).alias("binary"), count_text(F.floor(sales)).alias("units"), money_text("total_sales").alias("money"))
+
+
 def category_summary(view: DataFrame) -> DataFrame:
     """Per category: revenue, freight, orders, late rate, freight share (null if no value)."""
     return view.groupBy("product_category").agg(

@@ -116,6 +116,10 @@ class DashboardView:
         }
 
     def write(self, out_dir: str) -> None:
-        """Write every table as Parquet under ``out_dir/<name>``."""
+        """Write every table as Parquet under ``out_dir/<name>``; sorted ones carry their order as ``rank``."""
+        falling = F.desc("revenue")
+        order = {"category_summary": [falling, "product_category"], "state_summary": [falling, "customer_state"],
+                 "monthly_revenue": ["purchase_period"], "filter_domains": ["domain", "value"]}
         for name, df in self.tables().items():
+            df = metrics.with_rank(df, *order[name]) if name in order else df
             df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")

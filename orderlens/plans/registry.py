@@ -15,12 +15,15 @@ from orderlens.operators import mart as M
 from orderlens.operators.quality import dq_violations
 from orderlens.plans.dashboard import fixture_mart, fixture_raw
 from orderlens.plans.ml_queries import ml_queries
+from orderlens.sources.fixture import with_text_timestamps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Filter pair for the *_filtered queries (a state and a category present at every scale).
 FILTER_STATE = "NATION_11"
 FILTER_CATEGORY = "Brand#7"
+# A state that no order has.
+NO_STATE = "no such state"
 
 
 def _raw_query(fn: Callable) -> Query:
@@ -74,6 +77,15 @@ def dashboard_queries() -> dict[str, Query]:
         "insights": _findings(findings.insights),
         "business_status": _findings(findings.business_status),
         "recommendations_filtered": _findings(findings.recommendations, filtered=True),
+        "finding_texts": _view_query(findings.finding_texts, rounded=False),
+        "finding_texts_filtered": _view_query(findings.finding_texts, filtered=True, rounded=False),
+        "number_formats": _view_query(K.number_formats, rounded=False),
+        "sorted_outputs": _view_query(K.sorted_outputs, rounded=False),
+        "kpis_no_match": _view_query(lambda v: K.kpis(K.filter_view(v, NO_STATE))),
+        "findings_no_match": _view_query(lambda v: findings.finding_texts(K.filter_view(v, NO_STATE)), rounded=False),
+        "recommendations_widest_gap": _view_query(
+            lambda v: findings.recommendations(K.widest_review_gap_view(v), with_text=False)),
+        "delivered_orders_text": lambda spark, sf_dir: M.delivered_orders(with_text_timestamps(fixture_raw(spark, sf_dir))),
         "dq_violations": lambda spark, sf_dir: dq_violations(fixture_raw(spark, sf_dir), fixture_mart(spark, sf_dir)),
     }
 

@@ -7,6 +7,8 @@ grows with them.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +54,24 @@ def _with_later_copies(df: DataFrame, key: str, every: int) -> DataFrame:
     )
 
 
+def with_text_timestamps(raw: RawTables) -> RawTables:
+    """The raw tables with the orders' timestamps as text, in several forms, some of them no timestamps."""
+    k = F.col("order_id").cast(T.LongType())
+
+    def text(c: str) -> Column:
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+    purchase = (
+        F.when(k % 8 == 2, F.date_format("order_purchase_timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(k % 8 == 3, "not a date").when(k % 8 == 4, "").when(k % 8 == 5, "2018-13-45 00:00:00")
+        .when(k % 8 == 6, F.date_format("order_purchase_timestamp", "yyyy-MM-dd"))
+        .otherwise(F.concat(text("order_purchase_timestamp"), F.lit(".250000"))))
+    delivered = F.when(k % 9 == 1, "unknown").otherwise(text("order_delivered_customer_date"))
+    return replace(raw, orders=raw.orders.withColumns({
+        "order_purchase_timestamp": purchase, "order_delivered_customer_date": delivered,
+        "order_estimated_delivery_date": text("order_estimated_delivery_date")}))
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     """Raw order tables derived from ``{sf_dir}/*.parquet``."""
 
