@@ -12,18 +12,24 @@ from _common import session
 
 def main() -> None:
     p = argparse.ArgumentParser()
-    p.add_argument("--model", required=True)
+    g = p.add_mutually_exclusive_group(required=True)
+    g.add_argument("--model", help="a saved pipeline; the driver loads all its trees")
+    g.add_argument("--nodes", help="a folder of jobs/train.py --nodes-out; trees are read in groups of bounded size")
     p.add_argument("--orders", required=True, help="Parquet with order_id and the eight model features")
     p.add_argument("--out", required=True)
     p.add_argument("--rejects", default=None)
     args = p.parse_args()
     spark = session("orderlens-score")
-    from orderlens.ml.model import load_model
+    from orderlens.ml.model import feature_frame, load_model
+    from orderlens.ml.nodes import load_nodes, score_with_nodes
     from orderlens.ml.score import score_orders, split_valid
 
-    model = load_model(args.model)
     valid, rejects = split_valid(spark.read.parquet(args.orders))
-    score_orders(model, valid).write.mode("overwrite").parquet(args.out)
+    if args.model:
+        scored = score_orders(load_model(args.model), valid)
+    else:
+        scored = score_with_nodes(*load_nodes(spark, args.nodes), feature_frame(valid))
+    scored.write.mode("overwrite").parquet(args.out)
     if args.rejects:
         rejects.write.mode("overwrite").parquet(args.rejects)
 

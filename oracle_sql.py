@@ -703,6 +703,10 @@ def ml_oracle_queries() -> dict[str, str]:
             "SELECT order_id, TRUE AS probability_in_range, TRUE AS verdict_follows_class, TRUE AS shown_follows_verdict "
             "FROM mart WHERE total_sales >= 0 AND total_freight >= 0 AND item_count >= 1 "
             "AND estimated_delivery_days >= 1 AND purchase_month BETWEEN 1 AND 12", summaries=False),
+        "scored_by_nodes": _q(
+            "SELECT order_id, TRUE AS probability_agrees, TRUE AS verdict_agrees "
+            "FROM mart WHERE total_sales >= 0 AND total_freight >= 0 AND item_count >= 1 "
+            "AND estimated_delivery_days >= 1 AND purchase_month BETWEEN 1 AND 12", summaries=False),
         "scoring_rejects": _q(
             "SELECT * FROM (SELECT order_id, CASE "
             "WHEN CASE WHEN d = 1 THEN -total_sales ELSE total_sales END < 0 THEN 'total_sales must be >= 0' "

@@ -50,10 +50,14 @@ def score_orders(model: PipelineModel, orders: DataFrame, keep: tuple[str, ...]
     """
     feats = feature_frame(orders, keep=keep)
     out = model.transform(feats).withColumn("_prob", vector_to_array("probability"))
-    p = F.col("_prob")[1]
+    return verdicts(out, F.col("_prob")[1], [c for c in keep if c in feats.columns])
+
+
+def verdicts(scored: DataFrame, p: Column, keep: list[str]) -> DataFrame:
+    """Class, late probability ``p``, verdict and the verdict's probability of scored rows (``prediction``)."""
     late = F.col("prediction") == 1
-    return out.select(
-        *[c for c in keep if c in feats.columns],
+    return scored.select(
+        *keep,
         F.col("prediction").cast(T.IntegerType()).alias("prediction"),
         p.alias("late_probability"),
         F.when(late, VERDICT_LATE).otherwise(VERDICT_ON_TIME).alias("verdict"),
