@@ -1,7 +1,9 @@
 """Line dedup by a segment-partition edit join (DataFrame functions only).
 
-Lines of all documents within ``threshold`` edits of each other are linked. Each
-distinct line is cut into threshold + 1 segments of nearly equal length; a line
+Lines of all documents within ``threshold`` edits of each other, and not over a fifth of
+the longer one's characters, are linked. Going through the distinct lines by their first
+place, a line stays unless it is linked to one that stays: so every line that goes has a like
+one that stays, and lines are not chained away. Each distinct line is cut into threshold + 1 segments of nearly equal length; a line
 within the threshold holds one of them unchanged, close to its place. So lines
 index their segments by (length, segment number, content hash), and probe, for
 each partner length from their own down to threshold less, the substrings that
@@ -14,14 +16,14 @@ own condition drops pairs whose counts are too far apart, and groups of lines wi
 a common segment do not come out as all pairs.
 Work is on distinct lines: a line in every document is one row. Line ids are
 64-bit hashes; lines that share one would be one class (n^2 / 2^65 for n lines).
-Components come from label propagation on tables, not on the driver.
+Which lines stay is worked out in rounds on tables, not on the driver.
 
 Defined cases: lines are what stands between line feeds, with ASCII white space
 trimmed at both ends; empty lines are neither linked nor repeated; a null text
 has no lines; lines up to ``threshold`` characters have empty segments and are
 compared only for equality; every input row is a document of its own, also with a
-null or repeated id; of a class of lines the smallest (document id, row, line
-number) stays, null ids last; extra columns are ignored.
+null or repeated id; of a line that stays the smallest (document id, row, line
+number) does, null ids last; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orderlens.llm.common import materialize
-from orderlens.llm.minhash import components
 
 THRESHOLD = 2
+SIMILARITY = 0.8
 LETTERS = "eantiosr"
 
 
@@ -167,8 +169,8 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(m - n) > threshold, threshold + 1).otherwise(out)
 
 
-def linked_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
-    """Links (a, b) between the ids of all distinct lines within the threshold of each other.
+def linked_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the ids of all distinct lines within the threshold of each other and alike enough.
 
     One plan: distinct lines are shuffled by id once; entries, probes and the two
     joins that fetch the texts of candidates reuse that exchange.
@@ -193,32 +195,55 @@ def linked_lines(docs: DataFrame, id_col: str, text_col: str, threshold: int) ->
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("lb"))
     # a bounded distance of the engine drops most candidates before characters are laid out
     close = F.levenshtein("la", "lb", threshold) >= 0
-    both = pairs.join(left, "a").join(right, "b").filter(close).select(
-        "a", "b", characters(F.col("la")).alias("xa"), characters(F.col("lb")).alias("xb"))
+    most = F.floor(F.greatest(F.length("la"), F.length("lb")) * (1 - similarity) + 1e-9).alias("most")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", most).filter((F.col("most") > 0) & close).select(
+        "a", "b", "most", characters(F.col("la")).alias("xa"), characters(F.col("lb")).alias("xb"))
     # generators keep the optimizer from putting the character arrays into every step
     distance = F.explode_outer(F.array(banded_distance(F.col("xa"), F.col("xb"), threshold))).alias("distance")
-    return both.select("a", "b", distance).filter(F.col("distance") <= threshold).select("a", "b")
+    return both.select("a", "b", "most", distance).filter(
+        F.col("distance") <= F.least(F.col("most"), F.lit(threshold))).select("a", "b")
+
+
+def lines_that_go(links: DataFrame, places: DataFrame) -> DataFrame:
+    """Ids of the lines that are linked to a line that stays, of lines in the order of ``first`` (``id``, ``first``).
+
+    Links run from an earlier to a later line. Each round the lines that no open link
+    leads to stay, the lines they lead to go, and the links of these are done with;
+    the first line of the open links always stays, so the rounds end.
+    """
+    at_a = places.select(F.col("id").alias("a"), F.col("first").alias("fa"))
+    at_b = places.select(F.col("id").alias("b"), F.col("first").alias("fb"))
+    both = links.join(at_a, "a").join(at_b, "b")
+    before = F.col("fa") < F.col("fb")
+    open_ = materialize(both.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("low"),
+                                    F.when(before, F.col("b")).otherwise(F.col("a")).alias("high")), "line-order")
+    gone = []
+    while not open_.isEmpty():
+        led_to = open_.select(F.col("high").alias("line")).distinct()
+        stay = open_.join(led_to, F.col("low") == F.col("line"), "left_anti")
+        gone.append(materialize(stay.select(F.col("high").alias("id")).distinct(), "lines-gone"))
+        high, low = gone[-1].select(F.col("id").alias("high")), gone[-1].select(F.col("id").alias("low"))
+        open_ = materialize(open_.join(high, "high", "left_anti").join(low, "low", "left_anti").select("low", "high"), "line-order")
+    return reduce(DataFrame.unionByName, gone) if gone else open_.select(F.col("low").alias("id"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               threshold: int = THRESHOLD) -> DataFrame:
-    """A row per document: lines, removed lines and their numbers (not the first of their class)."""
-    links = materialize(linked_lines(docs, id_col, text_col, threshold), "line-links")
-    labels = components(links)
+               threshold: int = THRESHOLD, similarity: float = SIMILARITY) -> DataFrame:
+    """A row per document: lines, removed lines and their numbers."""
+    links = materialize(linked_lines(docs, id_col, text_col, threshold, similarity), "line-links")
     places = document_places(docs, id_col, text_col)
     lines = places.filter("id is not null")
     place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"),
                      F.col("line_no").alias("line_no"))
     by_id = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    classed = by_id.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(
-        "id", F.coalesce("label", "id").alias("class_id"), "first", "n")
-    classed = materialize(classed, "line-ids")
-    first = classed.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1")
-    repeated = classed.select("id", "class_id").join(materialize(first, "line-classes"), "class_id").select(
-        "id", F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_line"))
+    by_id = materialize(by_id, "line-ids")
+    goes = lines_that_go(links, by_id).withColumn("goes", F.lit(True))
+    repeated = by_id.join(goes, "id", "left").filter("n > 1 or goes").select(
+        "id", F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_line"),
+        F.coalesce("goes", F.lit(False)).alias("goes"))
     repeated = materialize(repeated, "line-repeats")
     judged = lines.join(repeated, "id", "left")
-    away = (F.col("first_row") != F.col("_row")) | (F.col("first_line") != F.col("line_no"))
+    away = F.col("goes") | (F.col("first_row") != F.col("_row")) | (F.col("first_line") != F.col("line_no"))
     judged = judged.select("_row", "_id", F.lit(1).alias("line"), F.when(away, F.col("line_no")).alias("removed"))
     none = places.filter("id is null").select("_row", "_id", F.lit(0).alias("line"), F.lit(None).cast("int").alias("removed"))
     per_row = judged.union(none).groupBy("_row").agg(

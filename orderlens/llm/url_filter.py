@@ -1,8 +1,8 @@
 """URL filtering by a Bloom filter cascade.
 
 A rule is a (host, path) pair; as a key it is the host followed by the path. The
-keys a url can match are its host and every parent domain, each with the path's
-prefixes of the lengths that rules have. All such keys of the corpus, distinct,
+keys a url can match are its host and parent domains, of as many labels as a rule's
+host has at most, each with the path's prefixes of the lengths that rules have. All such keys of the corpus, distinct,
 are the key universe. Level 1 of the cascade is a Bloom filter of the listed
 keys; level 2 one of the universe's keys that pass level 1 unlisted; level 3 one
 of the listed keys that pass level 2, and so on until a level is empty. For any
@@ -13,7 +13,8 @@ The filters are sized by the number of listed keys: level 1 lets through about
 as many unlisted keys as there are listed ones, so later levels are no larger.
 
 Defined cases: a null url or one without ``://`` has empty host and path and no
-rule; a key in both lists is blocked; repeated urls are judged alike; null ids
+rule; a key in both lists is blocked; of rules of one length the one of the longer host
+wins; hosts of any number of labels cost as much as their length; repeated urls are judged alike; null ids
 pass through; an empty table or list gives no matches; extra columns are ignored.
 """
 
@@ -117,10 +118,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Keys a url can match, longest first by host, then by path."""
+def candidate_keys(host: Column, path: Column, path_lengths: list[int], most_labels: int) -> Column:
+    """Keys a url can match, longest first by host, then by path; hosts of ``most_labels`` at most."""
     labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)),
+    parents = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most_labels - 1)), F.size(labels)),
                           lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     prefixes = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(path_lengths, reverse=True)])
     prefixes = F.array_compact(prefixes)
@@ -134,9 +135,10 @@ def judge_urls(pages: DataFrame, allow: list[Rule], block: list[Rule], id_col: s
     blocked = {h + p for h, p in block}
     listed = blocked | {h + p for h, p in allow}
     lengths = sorted({len(p) for _, p in [*allow, *block]})
+    most_labels = max((h.count(".") + 1 for h, _ in [*allow, *block]), default=1)
     host, path = url_parts(F.col(url_col).cast("string"))
     parts = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
-    keyed = parts.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    keyed = parts.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths, most_labels))
     universe = materialize(keyed.select(F.explode("_keys").alias("key")).distinct(), "keys")
     rules = build_cascade(listed, universe)
     bad = build_cascade(blocked, universe.sparkSession.createDataFrame([(k,) for k in sorted(listed)], "key string"))

@@ -399,22 +399,15 @@ def test_line_dedup_matches_brute_force(spark):
     rows += [(50, None), (51, ""), (52, rows[1][1]), (None, "only here " * 4)]
     occur = [((i is None, i or 0, k), t.strip(" \t\n\x0b\f\r")) for i, text in rows
              for k, t in enumerate((text or "").split("\n")) if t.strip(" \t\n\x0b\f\r")]
-    texts = sorted({t for _, t in occur})
-    label = {t: t for t in texts}
-
-    def root(t):
-        while label[t] != t:
-            t = label[t]
-        return t
-
-    for a in texts:
-        for b in texts:
-            if a < b and len(a) > 2 and len(b) > 2 and edit_distance(a, b) <= 2:
-                label[max(root(a), root(b))] = min(root(a), root(b))
-    first = {}
+    first, stays = {}, []
     for place, t in sorted(occur):
-        first.setdefault(root(t), place)
-    expect = {i: sorted(p[2] for p, t in occur if p[:2] == (i is None, i or 0) and first[root(t)] != p) for i, _ in rows}
+        if t not in first:
+            first[t] = place
+            near = any(min(len(t), len(u)) > 2 and edit_distance(t, u) <= min(2, max(len(t), len(u)) // 5) for u in stays)
+            if not near:
+                stays.append(t)
+    assert 0 < len(first) - len(stays)
+    expect = {i: sorted(p[2] for p, t in occur if p[:2] == (i is None, i or 0) and (t not in stays or first[t] != p)) for i, _ in rows}
     got = line_dedup.line_dedup(docs_of(spark, rows)).collect()
     assert {r.doc_id: r.removed_lines for r in got} == expect
     assert len(got) == len(rows)

@@ -15,7 +15,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orderlens.llm import decontaminate, language_id, merkle, minhash, repeat_spans, run_index, substring_dedup, token_align
+from orderlens.llm import (
+    decontaminate, language_id, line_dedup, merkle, minhash, repeat_spans, run_index, substring_dedup, token_align, url_filter,
+)
 from orderlens.llm.words import word_hashes, word_spans
 
 # extra columns whose names operators use themselves
@@ -361,3 +363,28 @@ def test_word_hashes_have_no_pattern_collisions(spark):
     shared = " ".join(f"w{k}" for k in range(34))
     got = substring_dedup.substring_dedup(docs_of(spark, [(1, f"{shared} {x}", "en"), (2, f"{shared} {y}", "en"), (3, f"{shared} {x}", "en")]))
     assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 35, 2: 0, 3: 35}
+
+
+def test_lines_are_not_chained_away(spark):
+    """Each line is two edits from the next; every second one stays, as it is like none that stays."""
+    lines = ["abcdefghijklmno" + "x" * k + "pqrstuvw" for k in range(0, 14, 2)]
+    rows = [(k, line, "en") for k, line in enumerate(lines)] + [(20, "short", "en"), (21, "shore", "en"), (22, "tiny", "en"), (23, "tine", "en")]
+    got = {r.doc_id: r.removed_lines for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert [k for k in range(7) if got[k]] == [1, 3, 5]
+    assert got[21] == [0] and not got[20] and not got[22] and not got[23]
+
+
+def test_hosts_of_many_labels_are_cheap(spark):
+    urls = ["http://" + "a." * 30000 + "com/x", "http://" + "b." * 500 + "example.com/en/1", "http://b.net/es/1"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    start = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(
+        pages, [("com", "/")], [("example.com", "/en/"), ("net", "/es/")]).select("page_id", "rule", "verdict").collect()}
+    assert got == {0: ("com/", "allow"), 1: ("example.com/en/", "block"), 2: ("net/es/", "block")}
+    assert time.perf_counter() - start < 60
+
+
+def test_of_rules_of_one_length_the_longer_host_wins(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.com/xx/yyyy/")], "page_id long, url string")
+    got = url_filter.judge_urls(pages, [("b.com", "/xx/")], [("com", "/xx/yy")]).first()
+    assert (got.rule, got.verdict) == ("b.com/xx/", "allow")
