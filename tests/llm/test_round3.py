@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -15,6 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from orderlens.llm import (
     decontaminate, language_id, line_dedup, merkle, minhash, repeat_spans, run_index, substring_dedup, token_align, url_filter,
 )
@@ -388,3 +390,41 @@ def test_of_rules_of_one_length_the_longer_host_wins(spark):
     pages = spark.createDataFrame([(1, "http://a.b.com/xx/yyyy/")], "page_id long, url string")
     got = url_filter.judge_urls(pages, [("b.com", "/xx/")], [("com", "/xx/yy")]).first()
     assert (got.rule, got.verdict) == ("b.com/xx/", "allow")
+
+
+def test_the_pipeline_keeps_the_expected_documents(spark, tmp_path):
+    """Junk, copies, near copies and contaminated rows go; one row of each clean text stays, whatever its id."""
+    rng = random.Random(17)
+    good = [" ".join(rng.choice(["river", "stone", "garden", "light", "evening", "winter", "letter", "music"]) + str(rng.randint(0, 60))
+                     for _ in range(60)) for _ in range(60)]
+    bad = [" ".join(rng.choice(["buy", "click", "cheap", "win", "$$$", "free"]) + "!" * rng.randint(1, 4) for _ in range(60)) for _ in range(60)]
+    item = " ".join(f"question{k}" for k in range(30))
+    rows = [(k, t, "en") for k, t in enumerate(good)] + [(100 + k, t, "en") for k, t in enumerate(bad)]
+    rows += [(200, good[3] + "\n", "en"), (201, good[3].replace(" ", "\t"), "en"), (202, good[4] + " end", "en"),
+             (5, good[6] + " end", "en"), (203, good[7] + " " + item, "en"), (None, good[8], "en"), (None, good[9] + " own words here", "en")]
+    docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(k, 1, 0) for k in range(60)] + [(100 + k, 0, 0) for k in range(60)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept[name] = docs.collect()
+    key = lambda t: " ".join((t or "").split())
+    quality = kept["quality_classifier"]
+    assert not {r.text for r in quality} & set(bad) and {r.text for r in quality} >= set(good)
+    exact = kept["exact_dedup"]
+    blank = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert sorted(blank(r.text) for r in exact) == sorted({blank(r.text) for r in quality})
+    assert {r.doc_id for r in exact if blank(r.text) == good[3]} == {3}
+    near = {key(r.text) for r in kept["minhash_near_dedup"]}
+    for k, other in ((4, " end"), (6, " end"), (9, " own words here")):
+        assert len(near & {key(good[k]), key(good[k] + other)}) == 1
+    assert len(near) == 61  # 60 good texts, one of them again with the item
+    clean = kept["benchmark_decontamination"]
+    assert {key(r.text) for r in clean} == {t for t in near if "question7" not in t} and len(clean) == 60
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed) == Counter(r.doc_id for r in clean)
+    assert all(r.piece == 0 and r.offset + r.length <= 4096 for r in packed)
