@@ -53,7 +53,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-# The classifier, the signatures and the tokenizer have no SQL form; tests/llm has a brute-force version.
+# The classifier, the signatures and the tokenizer have no SQL form; tests/llm holds the stages' rows against expected ones.
 ORACLE_SQL = None
 
 
