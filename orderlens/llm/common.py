@@ -35,10 +35,15 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     stored table of a session, also when an executor is lost; results of shuffles
     must be written first.
     """
-    name = "_row"
+    name = free_name(docs, "_row")
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` has it."""
     while name in docs.columns:
         name += "_"
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

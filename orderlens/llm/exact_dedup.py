@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.llm.common import materialize
+from orderlens.llm.common import free_name, materialize
 
 # A chunk ends after a sentence end (its content decides), 256 to 2048 characters long;
 # 2048 characters without one are a chunk as they stand.
@@ -92,13 +92,14 @@ def keep_first_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that have kept and dropped rows (repeated ids) look at their texts again.
     """
     marks = materialize(exact_dedup(docs, id_col, text_col), "marks")
-    by_id = marks.groupBy(F.col(id_col).alias("_m_id")).agg(
+    m_id, k_id, k_sha, sha = (free_name(docs, c) for c in ("_m_id", "_k_id", "_k_sha", "_k_sha2"))
+    by_id = marks.groupBy(F.col(id_col).alias(m_id)).agg(
         F.count("*").alias("_rows"), F.sum(F.col("kept").cast("long")).alias("_stay"))
-    same = F.col(id_col).eqNullSafe(F.col("_m_id"))
-    whole = docs.join(by_id.filter("_stay < _rows"), same, "left_anti")
-    mixed = by_id.filter("_stay > 0 and _stay < _rows")
-    stay = marks.filter("kept").select(F.col(id_col).alias("_k_id"), F.col("text_sha256").alias("_k_sha"))
-    again = docs.join(mixed, same, "left_semi").withColumn("_k_sha2", F.sha2(normalised(F.col(text_col)), 256))
-    again = again.join(stay, F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.col("_k_sha2") == F.col("_k_sha")),
-                       "left_semi").dropDuplicates([id_col, "_k_sha2"])
+    same = F.col(id_col).eqNullSafe(F.col(m_id))
+    whole = docs.join(by_id.filter("_stay < _rows").select(m_id), same, "left_anti")
+    mixed = by_id.filter("_stay > 0 and _stay < _rows").select(m_id)
+    stay = marks.filter("kept").select(F.col(id_col).alias(k_id), F.col("text_sha256").alias(k_sha))
+    again = docs.join(mixed, same, "left_semi").withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    again = again.join(stay, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(sha) == F.col(k_sha)),
+                       "left_semi").dropDuplicates([id_col, sha])
     return whole.select(*docs.columns).unionByName(again.select(*docs.columns))

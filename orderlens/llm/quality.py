@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from orderlens.llm.common import held_out, row_ranges, text_bytes
+from orderlens.llm.common import free_name, held_out, row_ranges, text_bytes
 from orderlens.llm.words import mix, word_hashes, word_spans
 
 SAMPLE_PER_CLASS = 4000
@@ -209,7 +209,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS,
                   dimensions: int = DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` ids (or the columns of ``keep``) with ``_quality_score``: probability of label 1.
+    """``docs`` ids (or the columns of ``keep``) and last ``_quality_score`` (or a free name): probability of label 1.
 
     ``learn`` is a condition over ``_id`` for label rows the model may see.
     """
@@ -219,7 +219,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     pa.default_memory_pool().release_unused()
     shared = spark.sparkContext.broadcast(model)
     names = [id_col] if keep is None else keep
-    source = docs.select(*names, F.col(text_col).cast("string").alias("_score_text"))
+    text, out = free_name(docs, "_score_text"), free_name(docs, SCORE)
+    source = docs.select(*names, F.col(text_col).cast("string").alias(text))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,9 +229,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
                      for a, b in row_ranges(off, _SLICE_BYTES)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)],
-                                             names=[*batch.schema.names[:-1], SCORE])
+                                             names=[*batch.schema.names[:-1], out])
 
-    schema = source.drop("_score_text").schema.add(SCORE, "double")
+    schema = source.drop(text).schema.add(out, "double")
     return source.mapInArrow(score, schema)
 
 
@@ -238,12 +239,13 @@ def quality_predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
                         threshold: float = THRESHOLD) -> DataFrame:
     """Id, held_out, score, predicted; rows whose crc32(id) mod 5 is 0 are never learnt from."""
     scored = score_quality(docs, labels, ~held_out("_id", 5, 0), id_col, text_col)
-    return scored.select(id_col, held_out(id_col, 5, 0).alias("held_out"), F.col(SCORE).alias("score"),
-                         (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
+    score = F.col(scored.columns[-1])
+    return scored.select(id_col, held_out(id_col, 5, 0).alias("held_out"), score.alias("score"),
+                         (score >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that the classifier does not reject, with their columns."""
     scored = score_quality(docs, labels, ~held_out("_id", 5, 0), id_col, text_col, keep=docs.columns)
-    return scored.filter(F.col(SCORE) >= threshold).drop(SCORE)
+    return scored.filter(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)

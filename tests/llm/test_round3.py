@@ -18,7 +18,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from orderlens.llm import (
-    decontaminate, language_id, line_dedup, merkle, minhash, repeat_spans, run_index, substring_dedup, token_align, url_filter,
+    decontaminate, exact_dedup, language_id, line_dedup, merkle, minhash, quality, repeat_spans, run_index, substring_dedup,
+    token_align, url_filter,
 )
 from orderlens.llm.words import word_hashes, word_spans
 
@@ -428,3 +429,20 @@ def test_the_pipeline_keeps_the_expected_documents(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in packed) == Counter(r.doc_id for r in clean)
     assert all(r.piece == 0 and r.offset + r.length <= 4096 for r in packed)
+
+
+def test_clashing_columns_break_no_stage(spark, tmp_path):
+    names = ["_row", "_drop_id", "_m_id", "_k_id", "_k_sha", "_k_sha2", "_score_text", "_quality_score", "score", "kept"]
+    rng = random.Random(3)
+    rows = [(k, words(rng, 40), "en") for k in range(12)]
+    rows += [(12, rows[0][1], "en"), (0, rows[1][1], "en"), (13, rows[2][1] + " end", "en")]
+    docs_of(spark, rows).withColumns({n: F.lit(n) for n in names}).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(k, int(k < 6)) for k in range(12)], "doc_id long, quality int")
+    bench = spark.createDataFrame([("i", rows[5][1])], "item_id string, text string")
+    assert quality.accepted(docs, labels, threshold=0.0).count() == len(rows)
+    assert quality.accepted(docs, labels, threshold=0.0).columns == docs.columns
+    assert quality.quality_predictions(docs, labels).count() == len(rows)
+    for part, n in ((exact_dedup.keep_first_texts(docs), 13), (minhash.keep_one_of_each(docs), 12), (decontaminate.without_contaminated(docs, bench), 14)):
+        assert part.columns == docs.columns and part.count() == n
+        assert part.select(*names).distinct().count() == 1
