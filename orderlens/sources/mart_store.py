@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.config import checkpoint_root
+from orderlens.config import checkpoint_root, sized_tasks
 
 _LOCK = threading.Lock()
 _OPENED: dict[str, tuple[str, T.StructType]] = {}
@@ -45,6 +45,13 @@ def source_key(spark: SparkSession, *paths: str) -> str:
     return f"{len(marks)}:{hashlib.sha256(repr([tuple(m) for m in marks]).encode()).hexdigest()}"
 
 
+def source_bytes(spark: SparkSession, *paths: str) -> int:
+    """Size of input files, from their listing."""
+    if not paths:
+        return 0
+    return spark.read.format("binaryFile").load(list(paths)).agg(F.sum("length")).first()[0] or 0
+
+
 def frame_key(df: DataFrame) -> str:
     """Identity of a DataFrame: its plan, and the files it reads."""
     files = df.inputFiles()
@@ -81,12 +88,16 @@ def _latest(spark: SparkSession, store: str):
 
 def publish(df: DataFrame, store: str, key: str, check: Callable[[DataFrame], None] | None = None,
             partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` into a new data folder of ``store``, check it there, then make it the published version."""
+    """Write ``df`` into a new data folder of ``store``, check it there, then make it the published version.
+
+    The tasks of the build are sized by the files it reads.
+    """
     spark = df.sparkSession
     last = _latest(spark, store)
     version = last[0]["version"] + 1 if last else 1
     data = f"data/{version:06d}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(f"{store}/{data}")
+    with sized_tasks(spark, source_bytes(spark, *df.inputFiles())):
+        df.write.partitionBy(*partition_by).parquet(f"{store}/{data}")
     table = spark.read.parquet(f"{store}/{data}")
     if check is not None:
         check(table)
