@@ -42,7 +42,7 @@ RECENTRED = 2
 PAIRED = 16  # buckets up to this size lay out their pairs as rows
 BLOCK = 256  # members of a block of a larger bucket
 _SKETCH_BITS = 1024
-_SLICE_BYTES = 1 << 21
+_SLICE_BYTES = 1 << 19
 _LOWEST = -4  # darts of ranks under 2^-4 come from one cell
 _HIGHEST = 40
 

@@ -30,7 +30,7 @@ MAX_LENGTH = 4096
 END_ID = 1
 OPEN_BINS = 1024
 GROUP_ROWS = 8192
-_SLICE_BYTES = 1 << 22
+_SLICE_BYTES = 1 << 20
 
 PIECES = "_id {id}, piece int, start long, length long, ids_crc32 long"
 

@@ -34,7 +34,7 @@ SAMPLE_PER_CLASS = 4000
 DIMENSIONS = 1 << 18
 THRESHOLD = 0.3
 SCORE = "_quality_score"
-_SLICE_BYTES = 1 << 21
+_SLICE_BYTES = 1 << 18  # a slice takes some 50 bytes of worker memory a byte of text
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _UPPER = np.zeros(256, bool)
