@@ -1,59 +1,23 @@
-"""A fitted forest as a table of nodes: written, read and walked without the model object.
-
-Scoring reads the nodes in groups of whole trees of bounded size. Each group is broadcast
-and walked for all rows at once, then its probabilities are added up per row; neither
-the driver nor a worker holds more than one group. The walk is independent of the library's own
-``transform`` and is tested against it.
-"""
+"""A fitted forest as an encoder and a table of nodes: fitted per tree, written, read and scored without the model object."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.ml.bootstrap import tree_samples
 from orderlens.ml.model import ForestParams, encoder_stages, forest_estimator, load_model
 from orderlens.ml.score import verdicts
+from orderlens.ml.walk import (  # noqa: F401
+    GROUP_BYTES, NODE_BYTES, _nodes_of, encoder_of, late_probabilities, node_table, tree_groups,
+)
 from orderlens.sources.mart_store import store_path, stored
 
-GROUP_BYTES = 64 << 20
-NODE_BYTES = 48  # of a node in a worker
-_MOST_CATEGORIES = 62
-
-
-def _nodes_of(df: DataFrame) -> DataFrame:
-    """Nodes from the library's saved form: tree, node, class-1 share, split, children (-1 at leaves)."""
-    n = F.col("nodeData")
-    total = F.aggregate(n["impurityStats"], F.lit(0.0), lambda a, x: a + x)
-    split, values = n["split"], n["split"]["leftCategoriesOrThreshold"]
-    by_value = split["numCategories"] >= 0
-    bits = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))))
-    return df.select(
-        F.col("treeID").alias("tree"), n["id"].alias("node"),
-        F.when(total > 0, n["impurityStats"][1] / total).otherwise(F.lit(0.0)).alias("late"),
-        F.when(n["leftChild"] >= 0, split["featureIndex"]).otherwise(-1).alias("feature"),
-        F.when(~by_value, F.get(values, F.lit(0))).alias("threshold"),
-        F.when(by_value & (split["numCategories"] <= _MOST_CATEGORIES), bits).alias("categories"),
-        n["leftChild"].alias("left"), n["rightChild"].alias("right"))
-
-
-def node_table(model: PipelineModel | RandomForestClassificationModel, spark) -> DataFrame:
-    """The nodes of a fitted forest, written to the shared folder by the executors and read back."""
-    forest = model.stages[-1] if isinstance(model, PipelineModel) else model
-    path = store_path(spark, "forest", uuid.uuid4().hex)
-    forest.write().save(path)
-    return stored(_nodes_of(spark.read.parquet(f"{path}/data")), "nodes")
-
 
 def save_nodes(encoder: PipelineModel, nodes: DataFrame, path: str) -> None:
     encoder.write().overwrite().save(f"{path}/encoder")
@@ -64,11 +28,6 @@ def load_nodes(spark, path: str) -> tuple[PipelineModel, DataFrame]:
     return load_model(f"{path}/encoder"), spark.read.parquet(f"{path}/nodes")
 
 
-def encoder_of(model: PipelineModel) -> PipelineModel:
-    """The stages before the forest."""
-    return PipelineModel(stages=model.stages[:-1])
-
-
 def fit_per_tree(train: DataFrame, params: ForestParams = ForestParams(), parallel: int = 4) -> tuple[PipelineModel, DataFrame]:
     """Encoder and node table of a forest whose trees each see their own weighted bootstrap sample.
 
@@ -91,85 +50,6 @@ def fit_per_tree(train: DataFrame, params: ForestParams = ForestParams(), parall
     return encoder, stored(reduce(DataFrame.unionByName, trees), "nodes")
 
 
-def tree_groups(nodes: DataFrame, group_bytes: int = GROUP_BYTES) -> list[tuple[int, int]]:
-    """Ranges of trees, ends included, with at most ``group_bytes`` of nodes each (one larger tree is a group)."""
-    sizes = nodes.groupBy("tree").agg(F.count("*").alias("n")).orderBy("tree").collect()  # a row per tree
-    out: list[list[int]] = []
-    used = 0
-    for r in sizes:
-        size = r["n"] * NODE_BYTES
-        if not out or used + size > group_bytes:
-            out.append([r["tree"], r["tree"]])
-            used = 0
-        out[-1][1] = r["tree"]
-        used += size
-    return [(a, b) for a, b in out]
-
-
-class _Group:
-    """The nodes of some trees as arrays; nodes of a tree lie from its offset on."""
-
-    def __init__(self, table: pa.Table) -> None:
-        table = table.sort_by([("tree", "ascending"), ("node", "ascending")])
-        tree = table["tree"].to_numpy()
-        node = table["node"].to_numpy()
-        self.roots = np.flatnonzero(np.diff(tree, prepend=-1))
-        base = np.repeat(self.roots, np.diff(np.append(self.roots, len(tree))))
-        if not np.array_equal(node, np.arange(len(tree)) - base):
-            raise ValueError("nodes of a tree are not numbered from 0")
-        self.late, self.feature = table["late"].to_numpy(), table["feature"].to_numpy()
-        bits = table["categories"]
-        self.by_value = bits.is_valid().to_numpy()
-        self.bits = bits.fill_null(0).to_numpy()
-        self.threshold = table["threshold"].fill_null(0.0).to_numpy()
-        if np.any((self.feature >= 0) & ~self.by_value & ~table["threshold"].is_valid().to_numpy()):
-            raise ValueError(f"a split over more than {_MOST_CATEGORIES} categories")
-        self.left, self.right = table["left"].to_numpy() + base, table["right"].to_numpy() + base
-
-    def sums(self, x: np.ndarray) -> np.ndarray:
-        """Sum over the trees of the class-1 share at each row's leaf."""
-        out = np.zeros(len(x))
-        for root in self.roots:
-            at = np.full(len(x), root)
-            going = np.flatnonzero(self.feature[at] >= 0)
-            while len(going):
-                node = at[going]
-                value = x[going, self.feature[node]]
-                category = np.where(self.by_value[node], value, 0).astype(np.int64)
-                left = np.where(self.by_value[node], (self.bits[node] >> category) & 1 == 1, value <= self.threshold[node])
-                at[going] = np.where(left, self.left[node], self.right[node])
-                going = going[self.feature[at[going]] >= 0]
-            out += self.late[at]
-        return out
-
-
-def _group_sums(vectors: DataFrame, nodes: DataFrame, trees: tuple[int, int], key: str) -> DataFrame:
-    group = _Group(nodes.where(F.col("tree").between(*trees)).toArrow())
-    shared = vectors.sparkSession.sparkContext.broadcast(group)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.sums(x))], names=[key, "_sum"])
-
-    kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(key, "_x").mapInArrow(walk, f"{key} {kind}, _sum double")
-
-
-def late_probabilities(vectors: DataFrame, nodes: DataFrame, key: str = "order_id", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``key`` (unique) and ``late_probability`` of the rows of ``vectors`` (``features``), from the node table."""
-    groups = tree_groups(nodes, group_bytes)
-    trees = nodes.agg(F.count_distinct("tree")).first()[0]
-    vectors = vectors.select(key, vector_to_array("features").alias("_x"))
-    if len(groups) == 1:
-        sums = _group_sums(vectors, nodes, groups[0], key)
-    else:
-        vectors = stored(vectors, "vectors")
-        parts = [stored(_group_sums(vectors, nodes, g, key), "tree-sums") for g in groups]
-        sums = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.sum("_sum").alias("_sum"))
-    return sums.select(key, (F.col("_sum") / trees).alias("late_probability"))
-
-
 def score_with_nodes(encoder: PipelineModel, nodes: DataFrame, orders: DataFrame, key: str = "order_id",
                      group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Prediction, late probability and verdict per order (``feature_frame`` columns), as ``score_orders`` gives them."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.ml.model import feature_frame
+from orderlens.ml.walk import encoder_of, late_probabilities, node_table
 
 # --- fixed values -----------------------------------------------------------
 # Input domains of the scoring form: money >= 0, items >= 1, days >= 1, month 1..12.
@@ -43,12 +44,21 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def score_orders(model: PipelineModel, orders: DataFrame, keep: tuple[str, ...] = ("order_id",)) -> DataFrame:
-    """Prediction, late probability and verdict per order.
+    """Prediction, late probability and verdict per order, by the walk of the forest's nodes.
 
     ``shown_probability`` is the probability of the verdict: p for
     'Likely Late', 1 - p for 'Likely On Time'.
     """
     feats = feature_frame(orders, keep=keep)
+    kept = [c for c in keep if c in feats.columns]
+    out = late_probabilities(encoder_of(model).transform(feats), node_table(model, feats.sparkSession), keep=kept)
+    p = F.col("late_probability")
+    return verdicts(out.withColumn("prediction", (p > 0.5).cast("int")), p, kept)
+
+
+def library_scores(model: PipelineModel, orders: DataFrame, keep: tuple[str, ...] = ("order_id",)) -> DataFrame:
+    """``score_orders`` by the library's own ``transform``, which visits all trees row by row: what the walk is held against."""
+    feats = feature_frame(orders, keep=keep)
     out = model.transform(feats).withColumn("_prob", vector_to_array("probability"))
     return verdicts(out, F.col("_prob")[1], [c for c in keep if c in feats.columns])
 
